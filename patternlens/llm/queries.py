@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, tokenfile
 from .common import table
 
 
@@ -14,8 +14,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer lies; the default of a parameter, never a copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = tokenfile.write_shards(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read_documents(shards)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op10_token_ids": op10_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
