@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stash, utf8
+from .tokens import encoder
 
 MAGIC, HEAD, EVERY = b"PLEF", struct.Struct("<4sHHQQIIIIII"), 64
 #: Ids after which a shard ends, and texts in bytes that one range of doc ids aims at.
@@ -152,22 +153,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
     bounds = ranges(docs, id_col, text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import WordEncoder
-
-        encoder, edges = _encoder(tokenizer_path, WordEncoder), np.array(bounds, np.int64)
-        end = np.array([] if end_id is None else [end_id], encoder.dtype)
+        words, edges = encoder(tokenizer_path), np.array(bounds, np.int64)
+        end = b"" if end_id is None else np.array([end_id], words.dtype).tobytes()
         for batch in batches:
-            offsets, _ = utf8(batch.column(1))
-            for lo, hi in slices(offsets):
-                ids, texts = batch.column(0).slice(lo, hi - lo), [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                blobs = [np.concatenate([x, end]).tobytes() for x in encoder.encode(texts)]
+            offsets, data = utf8(batch.column(1))
+            for lo, hi in slices(offsets, 1 << 20):
+                ids = batch.column(0).slice(lo, hi - lo)
+                blobs = [x.tobytes() + end for x in words.encode(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])]
                 keys = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(np.searchsorted(edges, keys, "right"), pa.int32()), ids, pa.array(blobs, pa.binary())], names=["range_no", "id", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import WordEncoder
-
-        dtype = _encoder(tokenizer_path, WordEncoder).dtype
+        dtype = encoder(tokenizer_path).dtype
         now, number, held_ids, held, count = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -233,11 +230,3 @@ def export(shards: DataFrame, folder: str) -> list[str]:
             f.write(row.shard)
     return names
 
-
-_ENCODERS: dict = {}
-
-
-def _encoder(path: str, kind):
-    if path not in _ENCODERS:
-        _ENCODERS[path] = kind(path)
-    return _ENCODERS[path]

@@ -1,110 +1,125 @@
-"""Chunk-wise encoding with the tokenizers library.
+"""Encoding with the tokenizers library, each different chunk once.
 
-Texts are cut where no token can cross, each different chunk is encoded once, and its ids
-are reused. Distinct chunks are encoded together with a special token between them, which
-keeps calls few and the ids of each chunk apart.
+Texts are cut where no token can cross. Chunks are told apart by a 64-bit hash of their bytes,
+computed for a whole slice of texts at once; a chunk is made a Python string and given to the
+library only when its hash is new to this worker. New chunks are encoded many at a time with
+a marker between them. The memory of a worker is bounded by REMEMBERED chunks and ids.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks a worker remembers; beyond that it starts again.
-REMEMBERED = 400_000
-#: Chunks in one call of the library.
-TOGETHER = 4_096
+from .common import lower_ascii, word_hashes, words
 
+#: Chunks that a worker remembers before it starts again, and chunks in one call of the library.
+REMEMBERED, TOGETHER = 1_500_000, 2_048
 
-class ChunkEncoder:
-    """``encode_all(chunks)``: ids of each chunk. ``joined`` encodes a list of chunks at once.
 
-    A chunk longer than ``long_chars`` is encoded but not remembered, so memory stays bounded.
-    """
+class ChunkCache:
+    """``ids(hashes, text_of)``: (ids of all chunks one after another, number of ids of each)."""
 
-    def __init__(self, joined: Callable[[list[str]], list[np.ndarray]], dtype=np.uint16, remembered: int = REMEMBERED, long_chars: int = 256):
-        self.joined, self.dtype, self.remembered, self.long_chars = joined, dtype, remembered, long_chars
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], dtype, remembered: int = REMEMBERED):
+        self.encode, self.dtype, self.remembered = encode, dtype, remembered
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _add(self, chunks: list[str]) -> None:
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return at, (self.known[at] == hashes) if len(self.known) else np.zeros(len(hashes), bool)
+
+    def _add(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        start, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int32)
         for lo in range(0, len(chunks), TOGETHER):
-            part = chunks[lo : lo + TOGETHER]
-            found = self.joined(part)
-            n, more = len(self.at), sum(map(len, found))
-            while self.used + more > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + len(part) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            for k, (chunk, ids) in enumerate(zip(part, found, strict=True), n):
+            for k, ids in enumerate(self.encode(chunks[lo : lo + TOGETHER]), lo):
+                if self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.dtype)])
                 self.pool[self.used : self.used + len(ids)] = ids
-                self.start[k], self.size[k] = self.used, len(ids)
+                start[k], size[k] = self.used, len(ids)
                 self.used += len(ids)
-                self.at[chunk] = k
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.size = (np.insert(x, at, y) for x, y in ((self.known, hashes), (self.start, start), (self.size, size)))
 
-    def encode_all(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        """One array of ids for each list of chunks."""
-        if len(self.at) > self.remembered:
+    def ids(self, hashes: np.ndarray, text_of: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.remembered or self.used > 8 * self.remembered:
             self.reset()
-        at, extra = self.at, False
-        flat = [c for chunks in texts for c in chunks]
-        missing = [c for c in dict.fromkeys(flat) if c not in at]
-        if missing:
-            extra = any(len(c) > self.long_chars for c in missing)
-            self._add(missing)
-        which = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-        sizes = self.size[which]
+        different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at, hit = self._find(different)
+        if not hit.all():
+            self._add(different[~hit], [text_of(i) for i in first[~hit].tolist()])
+            at, _ = self._find(different)
+        sizes = self.size[at].astype(np.int64)[which]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.arange(total, dtype=np.int64) + np.repeat(self.start[which] - (ends - sizes), sizes)
-        ids = self.pool[where]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, texts)])]
-        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        if extra:
-            self.reset()
-        return out
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at][which] - (ends - sizes), sizes)
+        return self.pool[where], sizes
 
 
-def split_ids(ids: np.ndarray, separator: int, n: int, dtype) -> list[np.ndarray]:
+def split_ids(ids: list[int], separator: int, n: int) -> list[np.ndarray]:
     """The runs between separators."""
-    cuts = np.flatnonzero(ids == separator)
-    assert len(cuts) == n - 1, "a separator was lost"
-    edges = np.concatenate([[-1], cuts, [len(ids)]])
-    ids = ids.astype(dtype)
-    return [ids[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    flat = np.array(ids, np.int64)
+    cuts = np.flatnonzero(flat == separator)
+    if len(cuts) != n - 1:
+        raise ValueError("a separator was lost")
+    edges = np.concatenate([[-1], cuts, [len(flat)]])
+    return [flat[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 class WordEncoder:
-    """Ids of whole texts under a tokenizer file whose pre-tokeniser never crosses white space.
+    """Ids under a tokenizer file that folds case and drops white space before it looks for words.
 
-    Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``. A text that holds the
+    Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``. A text that may hold the
     string of a special token is given to the library whole.
     """
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>"):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.separator, self.mark = self.tokenizer.token_to_id(separator), separator
-        self.encoder = ChunkEncoder(self._joined, self.dtype)
-
-    def _joined(self, chunks: list[str]) -> list[np.ndarray]:
-        ids = self.tokenizer.encode(self.mark.join(chunks), add_special_tokens=False).ids
-        return split_ids(np.array(ids, np.int64), self.separator, len(chunks), self.dtype)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        chunks = [[] if i in whole else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i, t in enumerate(texts)]
-        out = self.encoder.encode_all(chunks)
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype)
+        self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = "\x01"
+        (self.separator,) = self._plain(self.mark)
+        self.cache = ChunkCache(self._encode, self.dtype)
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
+        if any(self.mark in c for c in chunks):
+            return [np.array(self._plain(c), np.int64) for c in chunks]
+        return split_ids(self._plain(f" {self.mark} ".join(chunks)), self.separator, len(chunks))
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
+        """An array of ids for each text."""
+        folded = lower_ascii(data)
+        start, end, row = words(offsets, folded)
+        ids, sizes = self.cache.ids(word_hashes(folded, start, end), lambda i: folded[start[i] : end[i]].tobytes().decode())
+        edges = np.concatenate([[0], np.cumsum(np.bincount(row, sizes, len(offsets) - 1))]).astype(np.int64)
+        out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        raw = data.tobytes()
+        for mark in set(self.special):
+            at = raw.find(mark)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(mark) <= offsets[i + 1]:
+                    out[i] = np.array(self._plain(raw[offsets[i] : offsets[i + 1]].decode()), self.dtype)
+                at = raw.find(mark, max(at + 1, int(offsets[i + 1])))
         return out
+
+
+_ENCODERS: dict = {}
+
+
+def encoder(path: str, kind=WordEncoder):
+    """The worker's own encoder for a file."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = kind(path)
+    return _ENCODERS[path, kind]
