@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stash, utf8
+from .common import slices, small_batches, stash, utf8
 from .tokens import encoder
 
 MAGIC, HEAD, EVERY = b"PLEF", struct.Struct("<4sHHQQIIIIII"), 64
 #: Ids after which a shard ends, and texts in bytes that one range of doc ids aims at.
-SHARD_IDS, RANGE_BYTES, MAX_RANGES = 1 << 20, 64 << 20, 4096
+SHARD_IDS, RANGE_BYTES, MAX_RANGES = 1 << 20, 32 << 20, 4096
 
 
 class EliasFano:
@@ -134,11 +134,11 @@ class Shard:
 def ranges(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
     """Doc ids that part the table into ranges of about RANGE_BYTES of text; at most MAX_RANGES."""
     n = F.coalesce(F.octet_length(text_col), F.lit(0)) + 8
-    steps = [i / 1024 for i in range(1, 1024)]
+    steps = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
     found = docs.agg(F.sum(n).alias("bytes"), F.percentile_approx(F.col(id_col), steps, 20_000).alias("at")).first()
-    want = min(MAX_RANGES, 1024, max(1, -(-int(found["bytes"] or 0) // RANGE_BYTES)))
+    want = min(MAX_RANGES, max(1, -(-int(found["bytes"] or 0) // RANGE_BYTES)))
     at = found["at"] or []
-    return sorted({at[min(len(at) - 1, round(1024 * i / want) - 1)] for i in range(1, want)}) if at else []
+    return sorted({at[min(len(at) - 1, round(MAX_RANGES * i / want) - 1)] for i in range(1, want)}) if at else []
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -172,22 +172,24 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
             return pa.RecordBatch.from_pydict(row, pa.schema([("range_no", pa.int32()), ("shard_no", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())]))
 
         for batch in batches:
-            for r, d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                more = len(raw) // dtype().itemsize
+            at, raw = utf8(batch.column(2))
+            for i, (r, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                more = int(at[i + 1] - at[i]) // dtype().itemsize
                 if held and (r != now or count + more > shard_ids):
                     yield close()
                     number, held_ids, held, count = number + 1, [], [], 0
                 if r != now:
                     now, number = r, 0
                 held_ids.append(d)
-                held.append(np.frombuffer(raw, dtype))
+                held.append(raw[at[i] : at[i + 1]].copy().view(dtype))
                 count += more
         if held:
             yield close()
 
     encoded = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, "range_no int, id long, ids binary")
     ordered = encoded.repartition(len(bounds) + 1, "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_first(), "ids")
-    return stash(ordered.mapInArrow(shards, "range_no int, shard_no long, n_docs long, n_ids long, shard binary"), "token-shards")
+    with small_batches(docs.sparkSession):
+        return stash(ordered.mapInArrow(shards, "range_no int, shard_no long, n_docs long, n_ids long, shard binary"), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -198,7 +200,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, s, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                r, s, raw = (c[k].as_py() for c in batch.columns)
                 shard = Shard(raw)
                 edges = np.append(shard.bounds.all(), shard.n_ids)
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]

@@ -16,7 +16,7 @@ import numpy as np
 from .common import lower_ascii, word_hashes, words
 
 #: Chunks that a worker remembers before it starts again, and chunks in one call of the library.
-REMEMBERED, TOGETHER = 1_500_000, 2_048
+REMEMBERED, TOGETHER = 1_000_000, 2_048
 
 
 class ChunkCache:
