@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stash, utf8
-from .tokens import encoder
+from .tokens import encoder, release
 
 MAGIC, HEAD, EVERY = b"PLEF", struct.Struct("<4sHHQQIIIIII"), 64
 #: Ids after which a shard ends, and texts in bytes that one range of doc ids aims at.
-SHARD_IDS, RANGE_BYTES, MAX_RANGES = 1 << 20, 32 << 20, 4096
+SHARD_IDS, RANGE_BYTES, MAX_RANGES = 1 << 19, 32 << 20, 4096
 
 
 class EliasFano:
@@ -157,7 +157,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
         end = b"" if end_id is None else np.array([end_id], words.dtype).tobytes()
         for batch in batches:
             offsets, data = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 20):
+            for lo, hi in slices(offsets, 1 << 19):
                 ids = batch.column(0).slice(lo, hi - lo)
                 blobs = [x.tobytes() + end for x in words.encode(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])]
                 keys = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
@@ -165,6 +165,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer_path).dtype
+        release()
         now, number, held_ids, held, count = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -199,6 +200,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for k in range(batch.num_rows):
                 r, s, raw = (c[k].as_py() for c in batch.columns)
