@@ -6,9 +6,10 @@ prefix stand in the join as one group. Group pairs that meet are filtered by siz
 expanded into their different sets, and verified on whole sets.
 
 Only components are asked for, so links that cannot change them are not looked for: first
-each group meets the least group of each prefix shingle only; what is then still in different
-components and shares a prefix shingle is compared in full. No link between different
-components is missed, and thousands of near copies cost about one comparison each.
+each group meets one other, the one that is least in most of its shared prefix shingles; what
+is then still in different components and shares a prefix shingle is compared in full. No link
+between different components is missed, and thousands of near copies cost about one comparison
+each.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix64, slices, small_batches, stash, utf8, word_hashes, words
+from .common import lower_ascii, mix64, slices, small_batches, stash, unstash, utf8, word_hashes, words
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
 #: Counters that approximate how often a shingle occurs; they set the order and nothing else.
 COUNTER_BITS, CHUNKS = 20, 64
+#: Bits of a posting that hold the set's size; the other 39 hold its group. Groups that share a
+#: number only share candidates, and sizes beyond the bits only pass the size filter.
+N_BITS = 24
 _U = np.uint64
 
 
@@ -102,7 +106,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, counters: np.ndarra
                     head = np.sort(np.partition(key, p - 1)[:p] if p and p < len(key) else key[:p] if p == len(key) else np.sort(key)[:p])
                     n.append(len(s))
                     cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    grp.append(int.from_bytes(hashlib.blake2b(head.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                    grp.append(int.from_bytes(hashlib.blake2b(head.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little") >> 25 if len(s) else None)
                     prefix.append(head.view(np.int64))
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(flat, pa.int64()))
@@ -130,8 +134,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(reach("sa", "sb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _sets(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(cls, shingles): the whole set of each class that a pair names, from one document that has it."""
+def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(cls, shingles): the whole set of each of these classes, from one document that has it."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +145,7 @@ def _sets(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str, te
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(found, batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True)]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo).filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(found, same, strict=True) if ok], pa.binary())], names=["cls", "shingles"])
 
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    from_doc = members.join(named, "cls", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(from_doc, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("cls", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
     with small_batches(docs.sparkSession):
         return stash(texts.mapInArrow(build, "cls binary, shingles binary").dropDuplicates(["cls"]), "shingle-sets")
 
@@ -163,45 +165,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     some = signed.where("n > 0")
     members = stash(some.groupBy("cls").agg(F.min("id").alias("rep"), F.first("grp").alias("grp"), F.first("n").alias("n")), "shingle-classes")
     by_token = Window.partitionBy("token")
-    posted = some.select("grp", "n", F.posexplode("prefix").alias("pos", "token")).groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    shared = stash(posted.withColumn("low", F.min(F.struct("grp", "n")).over(by_token)).withColumn("high", F.max("grp").over(by_token)).where("low.grp <> high").select("token", "grp", "n", "pos", "low"), "shared-shingles")
+    posted = some.select(F.explode("prefix").alias("token"), F.shiftleft("grp", N_BITS).bitwiseOR(F.least("n", F.lit((1 << N_BITS) - 1))).alias("post"))
+    ends = posted.withColumn("low", F.min("post").over(by_token)).withColumn("high", F.max("post").over(by_token)).where("low <> high")
+    n_of, grp_of = (lambda c: F.col(c).bitwiseAND(F.lit((1 << N_BITS) - 1))), (lambda c: F.shiftright(c, N_BITS))
+    shared = stash(ends.select("token", grp_of("post").alias("grp"), n_of("post").alias("n"), grp_of("low").alias("least"), n_of("low").alias("least_n")).distinct(), "shared-shingles")
+    slim = stash(signed.select("id", "n", "cls"), "shingle-sizes")
+    unstash(signed)
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     cls = members.select("cls", "grp")
-    of = lambda name, grp: cls.select(F.col("cls").alias(name), F.col("grp").alias(grp))
-    ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = _sets(docs, members.join(shared.select("grp").distinct().unionByName(cls.groupBy("grp").count().where("count > 1").select("grp")).distinct(), "grp", "left_semi"), id_col, text_col, shingle)
 
-    # first round: each group against the least group of each of its shared shingles
-    stars = shared.where((F.col("grp") != F.col("low.grp")) & close(F.col("n"), F.col("low.n"))).select(F.col("grp").alias("ga"), F.col("low.grp").alias("gb")).distinct()
+    # first round: each group against the group that is least in most of its shared shingles
+    stars = shared.where((F.col("grp") != F.col("least")) & close(F.col("n"), F.col("least_n"))).groupBy("grp", "least").count()
+    stars = stars.groupBy("grp").agg(F.max(F.struct("count", "least")).alias("best")).select(F.col("grp").alias("ga"), F.col("best.least").alias("gb"))
     least_class = cls.groupBy("grp").agg(F.min("cls").alias("b"))
-    between = stars.join(of("a", "ga"), "ga").join(least_class.withColumnRenamed("grp", "gb"), "gb").select("a", "b")
+    between = stars.join(cls.select(F.col("cls").alias("a"), F.col("grp").alias("ga")), "ga").join(least_class.withColumnRenamed("grp", "gb"), "gb").select("a", "b")
     within = cls.join(least_class, "grp").select(F.col("cls").alias("a"), "b")
-    pairs = stash(ordered(between.unionByName(within)), "shingle-pairs")
-    links = stash(_verify(pairs, _sets(docs, members, pairs, id_col, text_col, shingle), percent), "shingle-links")
+    pairs = between.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = components(_verify(pairs, sets, percent))
 
     # second round: what still lies in different components and shares a prefix shingle or a group
-    found = components(links)
-    placed = stash(members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "grp", F.coalesce("label", "cls").alias("label")), "shingle-labels")
-    post = shared.select("token", "grp", "n", "pos").join(placed, "grp")
-    lone = placed.join(members.select("cls", "n"), "cls").withColumn("pos", F.lit(0)).withColumn("token", F.col("grp"))
-    mixed = lambda p: p.withColumn("x", F.min("label").over(by_token)).withColumn("y", F.max("label").over(by_token)).where("x <> y")
-    keep = ["token", "cls", "label", "n", "pos"]
-    several = lone.join(cls.groupBy("grp").count().where("count > 1").select("grp"), "grp", "left_semi")
-    open_ = stash(mixed(post.select(*keep)).select(*keep, F.lit(0).alias("kind")).unionByName(mixed(several.select(*keep)).select(*keep, F.lit(1).alias("kind"))), "open-shingles")
-    if not open_.isEmpty():
-        x, y = open_.alias("x"), open_.alias("y")
-        most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - 1 - F.col("x.pos"), F.col("y.n") - 1 - F.col("y.pos"))
-        enough = (F.col("x.kind") == 1) | ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
-        met = (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label"))
-        rest = x.join(y, met & close(F.col("x.n"), F.col("y.n")) & enough).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        rest = stash(rest.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-        if not rest.isEmpty():
-            more = _verify(rest, _sets(docs, members, rest, id_col, text_col, shingle), percent)
-            found = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(stash(more, "shingle-links")))
+    placed = stash(members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", F.coalesce("label", "cls").alias("label")), "shingle-labels")
+    several = cls.groupBy("grp").count().where("count > 1").select("grp")
+    keep = ["token", "cls", "label", "n"]
+    post = shared.select("token", "grp").join(placed, "grp").select(*keep, F.lit(0).alias("kind"))
+    post = post.unionByName(placed.join(several, "grp", "left_semi").withColumn("token", F.col("grp")).select(*keep, F.lit(1).alias("kind")))
+    by_token = Window.partitionBy("kind", "token")
+    open_ = stash(post.withColumn("x", F.min("label").over(by_token)).withColumn("y", F.max("label").over(by_token)).where("x <> y").drop("x", "y"), "open-shingles")
+    x, y = open_.alias("x"), open_.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label"))
+    rest = x.join(y, met & close(F.col("x.n"), F.col("y.n"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    more = stash(_verify(rest, sets, percent), "shingle-links")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
     whole = members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "label").select("cls", "component_id")
     return (
-        signed.select("id", "n", "cls")
-        .join(named, "cls", "left")
+        slim.join(named, "cls", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     )
