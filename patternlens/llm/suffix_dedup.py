@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, mix64, slices, small_batches, stash, utf8
+from .common import _BYTE, mix64, slices, small_batches, stash, unstash, utf8
 
 #: Bytes of a string that counts as repeated, of an anchor, of the first gram.
 WINDOW, ANCHOR, GRAM = 400, 32, 8
@@ -35,11 +35,14 @@ PIECE = 1 << 19
 _U = np.uint64
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors of all windows in the bytes; texts end at ``ends``."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first, last) of the anchors of all windows in the bytes; texts end at ``ends``.
+
+    ``first`` and ``last`` are where the windows start that have this anchor.
+    """
     n = len(data)
     if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     with np.errstate(over="ignore"):
         h, step, factor = _BYTE[data], 1, 0x9E3779B97F4A7C15
         while step < ANCHOR:
@@ -58,28 +61,32 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     whole = ends - start >= WINDOW
     np.add.at(inside, start[whole], 1)
     np.add.at(inside, ends[whole] - WINDOW + 1, -1)
-    place = np.unique((low[np.cumsum(inside)[:-1] > 0] & ((_U(1) << bits) - _U(1))).astype(np.int64))
-    return place, h[place]
+    at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+    if not len(at):
+        return anchors(data[:0], ends[:0])
+    place = (low[at] & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    new = np.concatenate([[True], place[1:] != place[:-1]])  # anchors do not go back as windows go on
+    return place[new], h[place[new]], at[new], at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
 
 
-def text_anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in its text, hash); long texts are gone through piece by piece."""
-    rows, places, hashes = [], [], []
+def text_anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, place in its text, hash, first, last); long texts are gone through piece by piece."""
+    found: list[tuple] = []
     for lo, hi in slices(offsets, PIECE):
         a, b = int(offsets[lo]), int(offsets[hi])
-        for c in range(a, max(b, a + 1), PIECE) if b - a > PIECE and hi - lo == 1 else [a]:
-            stop = min(b, c + PIECE + WINDOW - 1) if b - a > PIECE and hi - lo == 1 else b
-            place, h = anchors(data[c:stop], np.minimum(offsets[lo + 1 : hi + 1], stop) - c)
-            rows.append(np.searchsorted(offsets, place + c, "right") - 1)
-            places.append(place + c - offsets[rows[-1]])
-            hashes.append(h)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    row, place, h = np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
-    if len(row) > 1:  # pieces overlap
-        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])])
-        row, place, h = row[fresh], place[fresh], h[fresh]
-    return row, place, h
+        alone = hi - lo == 1 and b - a > PIECE
+        for c in range(a, b, PIECE) if alone else [a]:
+            stop = min(b, c + PIECE + WINDOW - 1) if alone else b
+            place, h, first, last = anchors(data[c:stop], np.minimum(offsets[lo + 1 : hi + 1], stop) - c)
+            row = np.searchsorted(offsets, place + c, "right") - 1
+            found.append((row, *(x + c - offsets[row] for x in (place, first, last)), h))
+    if not found:
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, _U))
+    row, place, first, last, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(row):  # an anchor's windows may lie in two pieces
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])]))
+        row, place, h, first, last = row[new], place[new], h[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
+    return row, place, first, last, h
 
 
 def repeated(group: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
@@ -93,6 +100,8 @@ def repeated(group: np.ndarray, before: list[bytes], after: list[bytes]) -> np.n
     first, last = np.array([BEFORE - len(b) for b in before]), np.array([BEFORE + len(a) for a in after])
     for i, (b, a) in enumerate(zip(before, after, strict=True)):
         raw[i, first[i] : last[i]] = np.frombuffer(b + a, np.uint8)
+    starts = np.arange(BEFORE + 1)
+    whole = (starts >= first[:, None]) & (starts + WINDOW <= last[:, None])
     at = np.arange(ROW)
     live = (at >= first[:, None]) & (at + GRAM <= last[:, None])
     gram = np.zeros((m, ROW), _U)
@@ -106,11 +115,20 @@ def repeated(group: np.ndarray, before: list[bytes], after: list[bytes]) -> np.n
         _, number, size = np.unique(key, return_inverse=True, return_counts=True)
         keep = size[number] > 1
         bucket[:] = -1
-        place = place[keep]
-        bucket.ravel()[place] = number[keep]
+        bucket.ravel()[place[keep]] = number[keep]
+        # a window is open while all strings in it share buckets; strings of no open window leave
+        shut = np.zeros((m, ROW + 1), np.int32)
+        np.cumsum(bucket < 0, axis=1, out=shut[:, 1:])
+        reach = WINDOW - depth + 1
+        open_ = whole & (shut[:, reach : reach + BEFORE + 1] == shut[:, : BEFORE + 1])
         if depth == WINDOW:
-            return (bucket >= 0)[:, : BEFORE + 1]
+            return open_
+        change = np.zeros((m, ROW + 1), np.int32)
+        change[:, : BEFORE + 1] += open_
+        change[:, reach : reach + BEFORE + 1] -= open_
+        bucket[np.cumsum(change, axis=1)[:, :ROW] == 0] = -1
         step = min(depth, WINDOW - depth)
+        place = np.flatnonzero(bucket >= 0)
         place = place[place % ROW + step < ROW]
         later = bucket.ravel()[place + step]
         place, later = place[later >= 0], later[later >= 0]
@@ -142,44 +160,47 @@ _SPAN_SQL = "array<struct<lo:int,hi:int>>"
 
 
 def _base(docs: DataFrame, text_col: str) -> DataFrame:
-    """(text_key, hash, place): the anchors of each row that is long enough, texts told apart by md5."""
+    """(text_key, hash, place, first, last): the anchors of each row that is long enough, texts told apart by md5."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(1))
             for lo, hi in slices(offsets, PIECE):
-                row, place, h = text_anchors(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
+                row, place, first, last, h = text_anchors(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
                 if len(row):
-                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(place, pa.int32())], names=["text_key", "hash", "place"])
+                    own = [pa.array(x, pa.int32()) for x in (place, first, last)]
+                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(h.view(np.int64)), *own], names=["text_key", "hash", "place", "first", "last"])
 
     long = docs.where(F.octet_length(text_col) >= WINDOW).select(F.unhex(F.md5(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession):
-        return stash(long.mapInArrow(find, "text_key binary, hash long, place int"), "anchors")
+        return stash(long.mapInArrow(find, "text_key binary, hash long, place int, first int, last int"), "anchors")
 
 
 def _surroundings(suspects: DataFrame) -> DataFrame:
-    """(hash, around, text_key, place, before, after); the bytes stand with the first of equal surroundings a worker sees."""
+    """(hash, around, text_key, place, before, after) of each anchor: the bytes of its windows. They stand with the first of equal surroundings a worker sees."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             at, data = utf8(batch.column(1))
-            lists = batch.column(2)
-            for i in range(batch.num_rows):
-                text = data[at[i] : at[i + 1]].tobytes()
-                out: tuple = ([], [], [], [], [])
-                for x in lists[i].as_py():
-                    p = x["place"]
-                    b, a = text[max(0, p - BEFORE) : p], text[p : p + WINDOW]
-                    key = int.from_bytes(hashlib.blake2b(b + a, digest_size=8, salt=len(b).to_bytes(2, "little")).digest(), "little", signed=True)
-                    if (known := (x["hash"], key)) in seen:
-                        b = a = None
-                    elif len(seen) < 200_000:
-                        seen.add(known)
-                    for c, v in zip(out, (x["hash"], key, p, b, a), strict=True):
-                        c.append(v)
-                h, key, p, b, a = out
-                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(h), pa.binary()), pa.array(p, pa.int32()), pa.array(b, pa.binary()), pa.array(a, pa.binary())], names=["hash", "around", "text_key", "place", "before", "after"])
+            flat, cuts = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), cuts)
+            place, first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3))
+            begin = at[row]
+            keys, before, after = np.zeros(len(row), np.int64), [], []
+            for k, (h, p, lo, hi, n) in enumerate(zip(flat.field(1).to_pylist(), (begin + place).tolist(), (begin + first).tolist(), (begin + last + WINDOW).tolist(), (place - first).tolist(), strict=True)):
+                both = data[lo:hi].tobytes()
+                key = int.from_bytes(hashlib.blake2b(both, digest_size=8, salt=n.to_bytes(2, "little")).digest(), "little", signed=True)
+                keys[k] = key
+                if (known := (h, key)) in seen:
+                    before.append(None)
+                    after.append(None)
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(known)
+                before.append(both[: p - lo])
+                after.append(both[p - lo :])
+            yield pa.record_batch([flat.field(1), pa.array(keys), batch.column(0).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["hash", "around", "text_key", "place", "before", "after"])
 
     return suspects.select("text_key", "text", "found").mapInArrow(cut, "hash long, around long, text_key binary, place int, before binary, after binary")
 
@@ -197,7 +218,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([held[i][0] for i in hit], pa.int64()), pa.array([held[i][1] for i in hit], pa.int64()), pa.array([[{"lo": a, "hi": b} for a, b in found[i]] for i in hit], _SPANS)], names=["hash", "around", "spans"])
 
         def blocks(group: np.ndarray) -> Iterator[np.ndarray]:
-            if len(held) <= 4 * TOGETHER:
+            if len(held) <= 8 * TOGETHER:
                 yield from repeated(group, [x[2] for x in held], [x[3] for x in held])
                 return
             raw = np.zeros((len(held), ROW), np.uint8)  # one crowded anchor: a distance at a time, from 8-byte buckets on
@@ -257,7 +278,7 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", crowd: int = CROW
     base = _base(docs, text_col)
     where = F.xxhash64("text_key", "place")
     often = base.groupBy("hash").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y").select("hash")
-    found = base.join(often, "hash", "left_semi").groupBy("text_key").agg(F.collect_set(F.struct("place", "hash")).alias("found"))
+    found = base.join(often, "hash", "left_semi").groupBy("text_key").agg(F.collect_set(F.struct("place", "hash", "first", "last")).alias("found"))
     texts = docs.where(F.octet_length(text_col) >= WINDOW).select(F.unhex(F.md5(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     copies = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
 
@@ -271,10 +292,12 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", crowd: int = CROW
 
     joined = texts.join(found, "text_key").select("text_key", "text", "found").sortWithinPartitions("text_key")
     with small_batches(docs.sparkSession):
-        suspects = stash(joined.mapInArrow(first_only, "text_key binary, text string, found array<struct<place:int,hash:long>>"), "suspects")
+        suspects = stash(joined.mapInArrow(first_only, "text_key binary, text string, found array<struct<place:int,hash:long,first:int,last:int>>"), "suspects")
         around = stash(_surroundings(suspects), "surroundings")
         kinds = around.groupBy("hash", "around").agg(F.count("*").alias("n"), F.first("before", True).alias("before"), F.first("after", True).alias("after"))
         kinds = stash(kinds, "kinds")
+        slim = stash(around.select("hash", "around", "text_key", "place"), "anchored")
+        unstash(around)
         crowds = kinds.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1")
         several = kinds.join(crowds, "hash")
         parts = _sorted(several.where(F.col("kinds") <= crowd))
@@ -282,7 +305,7 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", crowd: int = CROW
             parts = parts.unionByName(_dealt(several.where(F.col("kinds") > crowd)))
         same = kinds.where("n > 1").select("hash", "around", F.array(F.struct((-F.octet_length("before")).alias("lo"), F.octet_length("after").alias("hi"))).alias("spans")).where(f"spans[0].hi - spans[0].lo >= {WINDOW}")
         spans = stash(parts.unionByName(same), "spans")
-    placed = around.select("hash", "around", "text_key", "place").join(spans, ["hash", "around"]).select("text_key", F.explode(F.transform("spans", lambda s: F.struct((F.col("place") + s.lo).alias("lo"), (F.col("place") + s.hi).alias("hi")))).alias("span"))
+    placed = slim.join(spans, ["hash", "around"]).select("text_key", F.explode(F.transform("spans", lambda s: F.struct((F.col("place") + s.lo).alias("lo"), (F.col("place") + s.hi).alias("hi")))).alias("span"))
     by_text = placed.groupBy("text_key").agg(F.collect_set("span").alias("spans"))
     return copies, suspects.select("text_key", "text").join(by_text, "text_key")
 
