@@ -43,7 +43,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/patternlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,11 +58,11 @@ def unstash(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> Iterator[None]:
-    """While it is open, jobs hand Python workers batches of at most so many rows or bytes.
+    """While it is open, jobs read and hand Python workers batches of at most so many rows or bytes.
 
     For jobs that run inside it, not for frames it returns: Spark reads the settings as it plans.
     """
-    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(min(rows, 4096))}
     before = {k: spark.conf.get(k, None) for k in keys}
     try:
         for k, v in keys.items():

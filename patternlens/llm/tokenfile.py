@@ -220,7 +220,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
         .join(sizes, "range_no")
         .select("range_no", "shard_no", (F.col("range_start") + F.col("inner")).alias("shard_start"))
     )
-    rows = shards.select("range_no", "shard_no", "shard").mapInArrow(read, "range_no int, shard_no long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    with small_batches(shards.sparkSession, rows=16):  # shards are large
+        rows = stash(shards.select("range_no", "shard_no", "shard").mapInArrow(read, "range_no int, shard_no long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-documents")
     return rows.join(starts, ["range_no", "shard_no"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
