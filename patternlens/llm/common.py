@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,15 @@ def unstash(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's garbage is collected, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> Iterator[None]:
     """While it is open, jobs read and hand Python workers batches of at most so many rows or bytes.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix64, slices, small_batches, stash, unstash, utf8, word_hashes, words
+from .common import lower_ascii, mix64, slices, settle, small_batches, stash, unstash, utf8, word_hashes, words
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -138,16 +138,21 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, k: in
     """(cls, shingles): the whole set of each of these classes, from one document that has it."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             offsets, data = utf8(batch.column(1))
             for lo, hi in slices(offsets, 1 << 20):
-                found = shingle_sets(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], k)
-                same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(found, batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo).filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(found, same, strict=True) if ok], pa.binary())], names=["cls", "shingles"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("cls", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
+                kept: tuple[list, list] = ([], [])
+                for s, cls in zip(shingle_sets(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], k), batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True):
+                    if cls != last and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == cls:
+                        last = cls  # rows of a class follow one another
+                        kept[0].append(cls)
+                        kept[1].append(s.tobytes())
+                yield pa.record_batch([pa.array(c, pa.binary()) for c in kept], names=["cls", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("cls", "rep"), F.col("id").eqNullSafe(F.col("rep")))
     with small_batches(docs.sparkSession):
-        return stash(texts.mapInArrow(build, "cls binary, shingles binary").dropDuplicates(["cls"]), "shingle-sets")
+        return stash(texts.select("cls", "text", "id").sortWithinPartitions("id", "cls").select("cls", "text").mapInArrow(build, "cls binary, shingles binary"), "shingle-sets")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -172,31 +177,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slim = stash(signed.select("id", "n", "cls"), "shingle-sizes")
     unstash(signed)
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    cls = members.select("cls", "grp")
-    sets = _sets(docs, members.join(shared.select("grp").distinct().unionByName(cls.groupBy("grp").count().where("count > 1").select("grp")).distinct(), "grp", "left_semi"), id_col, text_col, shingle)
+    cls = members.select("cls", "grp", "n")
+    settle(docs.sparkSession)
+
+    # A pair at the threshold shares at least so many prefix shingles: what its sets must share,
+    # less what the larger set has outside its prefix.
+    larger, total = F.greatest("n", "m"), F.col("n") + F.col("m")
+    needed = F.ceil(percent * total / (100 + percent)) - (F.ceil(percent * larger / 100) - 1)
+    close = (100 * F.least("n", "m") >= percent * larger) & (F.col("count") >= needed)
+    sets_of = lambda pairs: _sets(docs, members.join(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "cls", "left_semi"), id_col, text_col, shingle)
 
     # first round: each group against the group that is least in most of its shared shingles
-    stars = shared.where((F.col("grp") != F.col("least")) & close(F.col("n"), F.col("least_n"))).groupBy("grp", "least").count()
+    stars = shared.where(F.col("grp") != F.col("least")).groupBy("grp", "n", "least", F.col("least_n").alias("m")).count().where(close)
     stars = stars.groupBy("grp").agg(F.max(F.struct("count", "least")).alias("best")).select(F.col("grp").alias("ga"), F.col("best.least").alias("gb"))
     least_class = cls.groupBy("grp").agg(F.min("cls").alias("b"))
     between = stars.join(cls.select(F.col("cls").alias("a"), F.col("grp").alias("ga")), "ga").join(least_class.withColumnRenamed("grp", "gb"), "gb").select("a", "b")
     within = cls.join(least_class, "grp").select(F.col("cls").alias("a"), "b")
-    pairs = between.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stash(ordered(between.unionByName(within)), "shingle-pairs")
+    sets = sets_of(pairs)
+    settle(docs.sparkSession)
     found = components(_verify(pairs, sets, percent))
+    unstash(sets)
 
-    # second round: what still lies in different components and shares a prefix shingle or a group
+    # second round: what still lies in different components and shares enough prefix shingles or a group
     placed = stash(members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", F.coalesce("label", "cls").alias("label")), "shingle-labels")
     several = cls.groupBy("grp").count().where("count > 1").select("grp")
-    keep = ["token", "cls", "label", "n"]
-    post = shared.select("token", "grp").join(placed, "grp").select(*keep, F.lit(0).alias("kind"))
-    post = post.unionByName(placed.join(several, "grp", "left_semi").withColumn("token", F.col("grp")).select(*keep, F.lit(1).alias("kind")))
-    by_token = Window.partitionBy("kind", "token")
-    open_ = stash(post.withColumn("x", F.min("label").over(by_token)).withColumn("y", F.max("label").over(by_token)).where("x <> y").drop("x", "y"), "open-shingles")
-    x, y = open_.alias("x"), open_.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label"))
-    rest = x.join(y, met & close(F.col("x.n"), F.col("y.n"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = stash(_verify(rest, sets, percent), "shingle-links")
-    if not more.isEmpty():
+    post = shared.select("token", "grp").join(placed, "grp").select("token", "cls", "label", "n")
+    inner = placed.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "cls", "label", "n")
+    mixed = lambda p: p.withColumn("x", F.min("label").over(by_token)).withColumn("y", F.max("label").over(by_token)).where("x <> y").drop("x", "y")
+
+    def met(posts: DataFrame) -> DataFrame:
+        x, y = posts.alias("x"), posts.alias("y")
+        apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label"))
+        sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+        return x.join(y, apart & sized).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).count()
+
+    rest = met(stash(mixed(post), "open-shingles")).where(close).select("a", "b").unionByName(met(mixed(inner)).select("a", "b"))
+    rest = stash(ordered(rest).join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
+    if not rest.isEmpty():
+        settle(docs.sparkSession)
+        more = stash(_verify(rest, sets_of(rest), percent), "shingle-links")
         found = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
     whole = members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
