@@ -8,6 +8,7 @@ smooth maximum over its passages, so a few words weigh the same in a short and a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import samples
 from .common import slices, utf8, word_hashes, words
 
-BUCKET_BITS, DIM, GRAMS, PASSAGE_WORDS = 20, 8, (3, 4, 5), 8
+BUCKET_BITS, DIM, GRAMS, PASSAGE_WORDS = 20, 4, (3, 4, 5), 3
 #: Training texts that must hold an n-gram before it gets a vector.
 LEAST_TEXTS = 3
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -68,23 +69,27 @@ class Model:
     weight: np.ndarray  # of each bucket: its vector times the difference of the softmax rows
     bias: float
     sharpness: float
+    scale: float = 1.0  # of the logit, and what is added, as calibrated
+    shift: float = 0.0
 
-    def score(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    def logits(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """A logit for each text; that of the bias, at most 0, where there are no words."""
         n = len(offsets) - 1
         offsets, data = padded(offsets, data)
         at, row = passages(offsets, data)
-        if not len(at):
-            return np.full(n, 1 / (1 + np.exp(-min(self.bias, 0.0))))
-        value, count = np.zeros(len(data) + 1), np.zeros(len(data) + 1)
-        for bucket, valid in grams(data):
-            value[: len(bucket)] += np.where(valid, self.weight[bucket], 0)
-            count[: len(bucket)] += valid
-        logit = np.add.reduceat(value, at) / np.maximum(np.add.reduceat(count, at), 1) + self.bias
-        out = np.full(n, self.bias)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
-        out[row[first]] = pool(logit, first, self.sharpness)[0]
-        out[np.setdiff1d(np.arange(n), row[first])] = min(self.bias, 0.0)
-        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+        out = np.full(n, min(self.bias, 0.0))
+        if len(at):
+            value, count = np.zeros(len(data) + 1), np.zeros(len(data) + 1)
+            for bucket, valid in grams(data):
+                value[: len(bucket)] += np.where(valid, self.weight[bucket], 0)
+                count[: len(bucket)] += valid
+            logit = np.add.reduceat(value, at) / np.maximum(np.add.reduceat(count, at), 1) + self.bias
+            first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+            out[row[first]] = pool(logit, first, self.sharpness)[0]
+        return out
+
+    def score(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(offsets, data) + self.shift, -40, 40)))
 
 
 def pool(logit: np.ndarray, first: np.ndarray, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +102,31 @@ def pool(logit: np.ndarray, first: np.ndarray, sharpness: float) -> tuple[np.nda
     return np.add.reduceat(part * logit, first), part
 
 
-def fit(texts: list[str], label: np.ndarray, *, steps: int = 150, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, sharpness: float = 1.0) -> Model:
+def calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
+    """The model with its logits rescaled so that they fit labels it has not seen, classes weighed alike."""
+    if len(set(label.tolist())) < 2:
+        return model
+    raw = [t.encode() for t in texts]
+    z = np.concatenate([model.logits(np.cumsum([0, *map(len, part)]), np.frombuffer(b"".join(part), np.uint8)) for part in (raw[i : i + 100] for i in range(0, len(raw), 100))])
+    y = label.astype(np.float64)
+    weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    centre, spread = z.mean(), z.std() + 1e-6
+    x, a, c = (z - centre) / spread, 1.0, 0.0
+    for _ in range(2_000):
+        error = (1 / (1 + np.exp(-np.clip(a * x + c, -40, 40))) - y) * weigh
+        a, c = max(0.0, a - 0.5 * ((error * x).sum() + 1e-3 * (a - 1))), c - 0.5 * error.sum()
+    model.scale, model.shift = a / spread, c - a * centre / spread
+    return model
+
+
+def fit(texts: list[str], label: np.ndarray, **options) -> Model:
+    """Trains on four fifths of the texts and calibrates the logits on the others."""
+    other = np.arange(len(texts)) % 5 == 4
+    pick = lambda mask: [t for t, m in zip(texts, mask, strict=True) if m]
+    return calibrated(train_vectors(pick(~other), label[~other], **options), pick(other), label[other])
+
+
+def train_vectors(texts: list[str], label: np.ndarray, *, steps: int = 80, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, sharpness: float = 1.0) -> Model:
     """Trains vectors and softmax jointly, classes weighed alike. Without both classes every score is 0.5.
 
     The step size is scaled by the gradient's overall norm, not by each coordinate's: n-grams
@@ -179,18 +208,18 @@ def frequent(ids: np.ndarray, of: np.ndarray, which: np.ndarray, row: np.ndarray
     return used[keep], number[ids[stay]], of[stay]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, per_class: int = 800) -> Model:
-    """Learns from at most ``per_class`` labelled rows of each class outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, toxic: int = 800, clean: int = 1_600) -> Model:
+    """Learns from at most ``toxic`` and ``clean`` labelled rows of the two classes outside the held-out fold."""
     known = samples.one_label(labels.where(samples.remainder(id_col, folds) != held_fold), id_col, label_col)
-    picked = samples.first_by_hash(known.where("label = 1"), per_class).unionByName(samples.first_by_hash(known.where("label = 0"), per_class))
-    rows = sorted(samples.texts(docs, picked, id_col, text_col).select("id", "text", "label").collect(), key=lambda r: (r.id, r.text))
+    picked = samples.first_by_hash(known.where("label = 1"), toxic).unionByName(samples.first_by_hash(known.where("label = 0"), clean))
+    rows = sorted(samples.texts(docs, picked, id_col, text_col).select("id", "text", "label").collect(), key=lambda r: (zlib.crc32(r.text.encode()), r.text))
     return fit([r.text for r in rows], np.array([r.label for r in rows]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted) for every row.
 
-    Null, empty and wordless texts get the score of the bias alone, never above 0.5; null ids are
+    Null, empty and wordless texts get the score of the bias alone; null ids are
     in the fold of the empty text; repeated rows and ids are scored one by one; an empty table
     gives none. Without labels of both classes every score is 0.5. Only id and text are read.
     """
