@@ -226,3 +226,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         slim.join(named, "cls", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     )
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is its component's smallest, each once; texts without words all stay.
+
+    Rows that share both id and text are one row; rows that share an id alone are kept or dropped together.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id"), (F.col("n_shingles") == 0).alias("wordless")).distinct()
+    rows = docs.withColumn("text_md5", F.md5(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")))
+    return rows.dropDuplicates([id_col, "text_md5"]).select(*docs.columns)

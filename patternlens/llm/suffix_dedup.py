@@ -331,8 +331,8 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, with_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, plus ``kept_text`` if asked for.
+def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, plus ``kept_text`` if asked for, and ``carried``: a struct of the ``carry`` columns.
 
     A byte goes if a string of WINDOW bytes that also starts elsewhere, in the same row or
     another, covers it. Null and empty texts, and texts shorter than WINDOW bytes, lose nothing;
@@ -358,7 +358,7 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     measured = cut.select("text_key", "text", "spans").mapInArrow(measure, "text_key binary, removed long, spans long, sha string, kept string")
     known = copies.join(measured, "text_key", "left").where("copies > 1 or removed is not null")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), *([F.col(text_col).alias("text")] if with_text else []))
+    rows = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), *([F.col(text_col).alias("text")] if with_text else []), *([F.struct(*carry).alias("carried")] if carry else []))
     out = rows.join(known, "text_key", "left")
     all_gone = F.coalesce(F.col("copies") > 1, F.lit(False))
     zero = F.lit(0).cast("long")
@@ -369,4 +369,16 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.when(all_gone, F.lit(1).cast("long")).otherwise(F.coalesce("spans", zero)).alias("n_spans"),
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
         *([F.when(all_gone, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("kept_text")] if with_text else []),
+        *(["carried"] if carry else []),
     )
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without their repeated bytes; same columns, ``n_chars`` counted anew where there is one."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    out = dedup_report(docs, id_col=id_col, text_col=text_col, with_text=True, carry=others)
+    text = F.col("kept_text")
+    columns = {id_col: F.col(id_col), text_col: text} | {c: F.col(f"carried.`{c}`") for c in others}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
