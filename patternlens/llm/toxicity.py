@@ -141,7 +141,11 @@ def train_vectors(texts: list[str], label: np.ndarray, *, steps: int = 80, rate:
     start, end, row = words(offsets, data[: offsets[-1]])
     if not len(start):
         return none
-    _, seen, which = np.unique(word_hashes(data[: offsets[-1]], start, end), return_index=True, return_inverse=True)
+    hashes = []
+    for lo, hi in slices(offsets, 1 << 20):
+        a, b = np.searchsorted(start, offsets[[lo, hi]])
+        hashes.append(word_hashes(data[offsets[lo] : offsets[hi]], start[a:b] - offsets[lo], end[a:b] - offsets[lo]))
+    _, seen, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum(end[seen] - start[seen] + 1)])
     own = np.full(cuts[-1] + 1, 32, np.uint8)
     size = end[seen] - start[seen]
@@ -149,9 +153,9 @@ def train_vectors(texts: list[str], label: np.ndarray, *, steps: int = 80, rate:
     of, ids = [], []
     for bucket, valid in grams(own):
         at = np.flatnonzero(valid)
-        of.append(np.searchsorted(cuts, at, "right") - 1)
-        ids.append(bucket[at])
-    of, ids = np.concatenate(of), np.concatenate(ids).astype(np.int64)
+        of.append((np.searchsorted(cuts, at, "right") - 1).astype(np.int32))
+        ids.append(bucket[at].astype(np.int32))
+    of, ids = np.concatenate(of), np.concatenate(ids)
     keep = of < len(seen)
     of, ids = of[keep], ids[keep]
     n_grams = np.bincount(of, minlength=len(seen)).astype(np.float64)
@@ -192,23 +196,23 @@ def train_vectors(texts: list[str], label: np.ndarray, *, steps: int = 80, rate:
 
 def frequent(ids: np.ndarray, of: np.ndarray, which: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, bucket of each n-gram, word of each n-gram) of the buckets that LEAST_TEXTS texts hold."""
-    word_doc = np.unique(which.astype(np.int64) * (row.max() + 1) + row)
-    word, doc = word_doc // (row.max() + 1), word_doc % (row.max() + 1)
     order = np.argsort(of, kind="stable")
     ids, of = ids[order], of[order]
-    at = np.searchsorted(of, np.arange(word.max() + 2))
+    at = np.searchsorted(of, np.arange(int(which.max()) + 2))
     used, ids = np.unique(ids, return_inverse=True)
-    spans = at[word + 1] - at[word]
-    flat = np.arange(spans.sum()) + np.repeat(at[word] - (np.cumsum(spans) - spans), spans)
-    seen = np.unique(ids[flat] * (row.max() + 1) + np.repeat(doc, spans))
-    texts = np.bincount(seen // (row.max() + 1), minlength=len(used))
+    ids, texts = ids.astype(np.int32), np.zeros(len(used), np.int32)
+    for own in np.split(which, np.flatnonzero(np.diff(row)) + 1):  # a text at a time: together they would not fit
+        own = np.unique(own)
+        spans = at[own + 1] - at[own]
+        flat = np.arange(spans.sum()) + np.repeat(at[own] - (np.cumsum(spans) - spans), spans)
+        texts[np.unique(ids[flat])] += 1
     keep = texts >= LEAST_TEXTS
-    number = np.cumsum(keep) - 1
+    number = (np.cumsum(keep) - 1).astype(np.int32)
     stay = keep[ids]
     return used[keep], number[ids[stay]], of[stay]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, toxic: int = 800, clean: int = 1_600) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, toxic: int = 600, clean: int = 1_200) -> Model:
     """Learns from at most ``toxic`` and ``clean`` labelled rows of the two classes outside the held-out fold."""
     known = samples.one_label(labels.where(samples.remainder(id_col, folds) != held_fold), id_col, label_col)
     picked = samples.first_by_hash(known.where("label = 1"), toxic).unionByName(samples.first_by_hash(known.where("label = 0"), clean))
