@@ -6,8 +6,9 @@ prefix stand in the join as one group. Group pairs that meet are filtered by siz
 expanded into their different sets, and verified on whole sets.
 
 Only components are asked for, so links that cannot change them are not looked for: first
-each group meets one other, the one that is least in most of its shared prefix shingles; what
-is then still in different components and shares a prefix shingle is compared in full. No link
+each group meets one other, the one that is least in most of its shared prefix shingles, then
+in a few rounds one drawn anew from those in other components; what is then still in different
+components and shares enough prefix shingles is compared in full. No link
 between different components is missed, and thousands of near copies cost about one comparison
 each.
 """
@@ -24,8 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, mix64, slices, settle, small_batches, stash, unstash, utf8, word_hashes, words
 from .graph import components
+from .vectors import grouped
 
 SHINGLE, PERCENT = 5, 80
+#: Rounds of single partners before the rest is compared in full.
+ROUNDS = 4
+#: Classes apart that share a shingle from which on each shingle draws a partner of its own.
+CROWD = 32
+#: Classes in a block of a crowd.
+BLOCK = 512
 #: Counters that approximate how often a shingle occurs; they set the order and nothing else.
 COUNTER_BITS, CHUNKS = 20, 64
 #: Bits of a posting that hold the set's size; the other 39 hold its group. Groups that share a
@@ -155,6 +163,51 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, k: in
         return stash(texts.select("cls", "text", "id").sortWithinPartitions("id", "cls").select("cls", "text").mapInArrow(build, "cls binary, shingles binary"), "shingle-sets")
 
 
+def _crowded_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of classes with different labels that share enough of the shingles ``own``, out of (token, cls, label, n, own, crowds).
+
+    Each pair is looked at where the first crowded shingle that it shares is the token, so it comes
+    once however many it shares; a crowd is dealt out in blocks, and no task holds more than two.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, lo, hi), part in grouped(batches, 3):
+            side, cls, label = np.array(part.column(3).to_pylist()), part.column(4).to_pylist(), part.column(5).to_pylist()
+            n = np.array(part.column(6).to_pylist(), np.int64)
+            lists = part.column(7).combine_chunks()
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(cls)), lengths)
+            names, column, often = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            crowded = np.isin(names, part.column(8).combine_chunks().flatten().to_numpy(zero_copy_only=False))
+            both = np.zeros((len(cls), len(cls)), np.float32)
+            earlier = np.zeros_like(both)
+            use = np.flatnonzero(often > 1)
+            for at in range(0, len(use), 4_096):
+                pick = use[at : at + 4_096]
+                place = np.full(len(names), -1)
+                place[pick] = np.arange(len(pick))
+                ok = place[column] >= 0
+                has = np.zeros((len(cls), len(pick)), np.float32)
+                has[row[ok], place[column[ok]]] = 1
+                both += has @ has.T
+                has = has[:, (names[pick] < token) & crowded[pick]]
+                earlier += has @ has.T
+            _, mark = np.unique(np.array(label, object), return_inverse=True)
+            larger, total = np.maximum(n[:, None], n[None, :]), n[:, None] + n[None, :]
+            needed = -(-percent * total // (100 + percent)) - (-(-percent * larger // 100) - 1)
+            fits = (mark[:, None] != mark[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * larger) & (both >= needed) & (earlier == 0)
+            if lo != hi:
+                fits &= (side[:, None] == lo) & (side[None, :] == hi)
+            x, y = np.nonzero(np.triu(fits, 1) if lo == hi else fits)
+            yield pa.record_batch([pa.array([cls[i] for i in x], pa.binary()), pa.array([cls[i] for i in y], pa.binary())], names=["a", "b"])
+
+    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "token").withColumn("side", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["token", "lo", "hi"]
+    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cls", "label", "n", "own", "crowds")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row.
 
@@ -195,17 +248,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     within = cls.join(least_class, "grp").select(F.col("cls").alias("a"), "b")
     ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stash(ordered(between.unionByName(within)), "shingle-pairs")
-    sets = sets_of(pairs)
+    crowds = shared.groupBy("token").count().where(F.col("count") >= CROWD).select("token")
+    in_crowds = cls.join(shared.join(crowds, "token", "left_semi").select("grp").distinct(), "grp", "left_semi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    sets = sets_of(pairs.unionByName(in_crowds))
     settle(docs.sparkSession)
     found = components(_verify(pairs, sets, percent))
-    unstash(sets)
 
-    # second round: what still lies in different components and shares enough prefix shingles or a group
-    placed = stash(members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", F.coalesce("label", "cls").alias("label")), "shingle-labels")
+    # further rounds: each class still apart from others of its prefix shingles against one of those, another each time
     several = cls.groupBy("grp").count().where("count > 1").select("grp")
-    post = shared.select("token", "grp").join(placed, "grp").select("token", "cls", "label", "n")
-    inner = placed.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "cls", "label", "n")
     mixed = lambda p: p.withColumn("x", F.min("label").over(by_token)).withColumn("y", F.max("label").over(by_token)).where("x <> y").drop("x", "y")
+    for turn in range(ROUNDS + 1):
+        placed = stash(members.join(found, F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", F.coalesce("label", "cls").alias("label")), "shingle-labels")
+        apart = stash(mixed(shared.select("token", "grp").join(placed, "grp").select("token", "cls", "label", "n")), "open-shingles")
+        if turn == ROUNDS:
+            break
+        sized = apart.withColumn("crowd", F.count("*").over(by_token) >= CROWD)
+        drawn = F.struct(F.xxhash64(F.col("cls"), F.lit(turn), F.when(F.col("crowd"), F.col("token"))).alias("h"), "label", F.col("cls").alias("b"), F.col("n").alias("m"))
+        ends = sized.withColumn("low", F.min(drawn).over(by_token)).withColumn("high", F.max(drawn).over(by_token))
+        other = F.when(F.col("low.label") != F.col("label"), F.col("low")).when(F.col("high.label") != F.col("label"), F.col("high"))
+        met_one = ends.withColumn("other", other).where("other is not null").select("cls", "n", "crowd", F.col("other.b").alias("b"), F.col("other.m").alias("m"))
+        crowded = met_one.where(F.col("crowd") & (100 * F.least("n", "m") >= percent * larger)).select(F.col("cls").alias("a"), "b")
+        near = met_one.where(~F.col("crowd")).groupBy("cls", "n", "b", "m").count().where(close)
+        best = near.groupBy("cls").agg(F.max(F.struct("count", "b")).alias("best")).select(F.col("cls").alias("a"), F.col("best.b").alias("b"))
+        more = stash(_verify(ordered(best.unionByName(crowded)), sets, percent), "shingle-links")
+        if more.isEmpty():
+            break
+        found = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
+    unstash(sets)
+
+    # last round: what still lies in different components and shares enough prefix shingles or a group, in full
+    inner = placed.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "cls", "label", "n")
 
     def met(posts: DataFrame) -> DataFrame:
         x, y = posts.alias("x"), posts.alias("y")
@@ -213,7 +285,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
         return x.join(y, apart & sized).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).count()
 
-    rest = met(stash(mixed(post), "open-shingles")).where(close).select("a", "b").unionByName(met(mixed(inner)).select("a", "b"))
+    flagged = stash(apart.withColumn("crowd", F.count("*").over(by_token) >= CROWD), "open-shingles")
+    in_crowd = flagged.where("crowd").drop("crowd")
+    tokens_of = shared.select("token", "grp").join(placed.join(in_crowd.select("cls").distinct(), "cls", "left_semi").select("cls", "grp"), "grp")
+    tokens_of = tokens_of.join(in_crowd.select("token", F.lit(True).alias("crowd")).distinct(), "token", "left").groupBy("cls").agg(F.collect_list("token").alias("own"), F.collect_list(F.when(F.col("crowd"), F.col("token"))).alias("crowds"))
+    rest = met(flagged.where("not crowd").drop("crowd")).where(close).select("a", "b").unionByName(met(mixed(inner)).select("a", "b"))
+    rest = rest.unionByName(_crowded_pairs(in_crowd.join(tokens_of, "cls"), percent))
     rest = stash(ordered(rest).join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     if not rest.isEmpty():
         settle(docs.sparkSession)
