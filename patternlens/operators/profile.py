@@ -46,25 +46,24 @@ def leaves(entries: DataFrame, root: str = "$[*]") -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple] = []
             for src, idx, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out: list[tuple] = []
-                stack = [(root, jsontext.loads(text))]
+                place, stack = 0, [(root, jsontext.loads(text))]
                 while stack:
                     path, v = stack.pop()
                     if isinstance(v, dict):
                         stack.extend((f"{path}.{n}", v[n]) for n in sorted(v, reverse=True))
-                    elif isinstance(v, list):
-                        out.append((f"{path}[*]", None, None, len(v)))
+                        continue
+                    if isinstance(v, list):
+                        out.append((src, idx, place, f"{path}[*]", None, None, len(v)))
                         stack.extend((f"{path}[*]", x) for x in reversed(v))
                     else:
                         t = jsontext.scalar_text(v)
-                        out.append((path, jsontext.kind(v), t[:100] + "…" if len(t) > 100 else t, None))
-                cols = list(zip(*out, strict=True)) if out else [()] * 4
-                n = len(out)
-                yield pa.record_batch(
-                    [pa.array([src] * n, pa.int64()), pa.array([idx] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
-                    names=["src", "idx", "ord", "path", "type", "value", "size"],
-                )
+                        out.append((src, idx, place, path, jsontext.kind(v), t[:100] + "…" if len(t) > 100 else t, None))
+                    place += 1
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["src", "idx", "ord", "path", "type", "value", "size"])
 
     found = entries.select("src", "idx", "j").mapInArrow(walk, "src long, idx long, ord long, path string, type string, value string, size long")
     return found.select("path", "type", "value", F.struct("src", "idx", "ord").alias("order"), "size")

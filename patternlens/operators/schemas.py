@@ -192,22 +192,21 @@ def objects(entries: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))
         for batch in batches:
+            out: list[tuple] = []
             for src, idx, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found: list[tuple[str, dict]] = []
-                stack = [("$[*]", jsontext.loads(text))]
+                place, stack = 0, [("$[*]", jsontext.loads(text))]
                 while stack:
                     path, v = stack.pop()
                     if isinstance(v, dict):
-                        found.append((path, v))
+                        fields = [{"field": k, "value": short_sample(v[k])} for k in sorted(v)]
+                        out.append((src, idx, place, path, jsontext.dumps(v), jsontext.dumps(signature(v, 0)), fields))
+                        place += 1
                         stack.extend((f"{path}.{n}", v[n]) for n in sorted(v, reverse=True))
                     elif isinstance(v, list):
                         stack.extend((f"{path}[*]", x) for x in reversed(v))
-                n = len(found)
-                yield pa.record_batch(
-                    [pa.array([src] * n, pa.int64()), pa.array([idx] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([p for p, _ in found], pa.string()), pa.array([jsontext.dumps(v) for _, v in found], pa.string()),
-                     pa.array([jsontext.dumps(signature(v, 0)) for _, v in found], pa.string()), pa.array([[{"field": k, "value": short_sample(x)} for k, x in sorted(v.items())] for _, v in found], kind)],
-                    names=["src", "idx", "ord", "path", "j", "sig", "fields"],
-                )
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), kind)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["src", "idx", "ord", "path", "j", "sig", "fields"])
 
     return entries.select("src", "idx", "j").mapInArrow(walk, f"src long, idx long, ord long, path string, j string, sig string, fields {_VALUES}")
 

@@ -36,9 +36,13 @@ def documents(docs: DataFrame, stages: tuple[Stage, ...] = (), src: str = "src",
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
             for s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _apply(jsontext.entries(text), stages)
-                yield pa.record_batch([pa.array([s] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([jsontext.dumps(v) for v in found], pa.string())], names=["src", "idx", "j"])
+                for i, v in enumerate(_apply(jsontext.entries(text), stages)):
+                    out[0].append(s)
+                    out[1].append(i)
+                    out[2].append(jsontext.dumps(v))
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["src", "idx", "j"])
 
     return docs.where(F.col(raw).isNotNull()).select(F.col(src).cast("long"), F.col(raw)).mapInArrow(read, SCHEMA)
 
