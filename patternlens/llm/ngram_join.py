@@ -29,7 +29,7 @@ from .vectors import grouped
 
 SHINGLE, PERCENT = 5, 80
 #: Rounds of single partners before the rest is compared in full.
-ROUNDS = 4
+ROUNDS = 2
 #: Classes apart that share a shingle from which on each shingle draws a partner of its own.
 CROWD = 32
 #: Classes in a block of a crowd.
