@@ -109,12 +109,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text_col = options.get("text_col", "text")
     full, rest = F.expr("cast(taken div size as int)"), F.expr("cast(taken % size as int)")
     counts = F.concat(F.array_repeat(F.col("size").cast("int"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = plan.where("taken > 0").select("carried.*", "size", F.explode(counts).alias("words_kept"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("words_kept")), "")
-    out = out.withColumn(text_col, F.when(F.col("words_kept") < F.col("size"), cut).otherwise(F.col(text_col)))
+    out = plan.where("taken > 0").select("carried", "size", F.explode(counts).alias("words_kept"))
+    own = lambda c: F.col("carried").getField(c)
+    cut = F.array_join(F.slice(F.regexp_extract_all(own(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("words_kept")), "")
+    out = out.withColumn("kept", F.when(F.col("words_kept") < F.col("size"), cut).otherwise(own(text_col)))
+    columns = {c: own(c) for c in names} | {text_col: F.col("kept")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        columns["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(columns[c].alias(c) for c in names))
 
 
 ORACLE = r"""

@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return pa.array([x.tobytes() for lo, hi in slices(offsets) for x in features(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])], pa.binary())
 
     rows = samples.texts(docs, trusted.unionByName(free), id_col, text_col).select("kind", extract("text").alias("x")).collect()
+    rows.sort(key=lambda r: (r.kind, r.x))  # so that sums do not depend on the order of arrival
     take = lambda kind: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.kind == kind], np.float64).reshape(-1, STATS + BINS)
     return fit(take(1), take(0), 0.5 if prior is None else float(prior))
 

@@ -282,17 +282,9 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", crowd: int = CROW
     texts = docs.where(F.octet_length(text_col) >= WINDOW).select(F.unhex(F.md5(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     copies = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
 
-    def first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            keep = [k != p for k, p in zip(keys, [last, *keys], strict=False)]
-            last = keys[-1] if keys else last
-            yield batch.filter(pa.array(keep))
-
-    joined = texts.join(found, "text_key").select("text_key", "text", "found").sortWithinPartitions("text_key")
+    joined = texts.join(found, "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("found").alias("found"))
     with small_batches(docs.sparkSession):
-        suspects = stash(joined.mapInArrow(first_only, "text_key binary, text string, found array<struct<place:int,hash:long,first:int,last:int>>"), "suspects")
+        suspects = stash(joined, "suspects")
         around = stash(_surroundings(suspects), "surroundings")
         kinds = around.groupBy("hash", "around").agg(F.count("*").alias("n"), F.first("before", True).alias("before"), F.first("after", True).alias("after"))
         kinds = stash(kinds, "kinds")
