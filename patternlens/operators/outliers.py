@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,19 @@ def scores(entries: DataFrame, n: int = 2) -> DataFrame:
     return own.crossJoin(total).select("src", "idx", (F.col("hits") / F.col("total") / F.col("grams")).alias("score"))
 
 
-def _kth(scored: DataFrame, k: int) -> float:
-    """The k-th lowest score, found by halving the range of scores with counts; nothing is sorted in one place."""
+def _kth(scored: DataFrame, k: int, bins: int = 256) -> float:
+    """The k-th lowest score: counts in equal bins, then in bins of the bin that holds it, until one value is left."""
     low, high = scored.agg(F.min("score"), F.max("score")).first()
-    while True:
-        mid = low + (high - low) / 2
-        row = scored.agg(F.sum((F.col("score") <= mid).cast("long")), F.max(F.when(F.col("score") <= mid, F.col("score"))), F.min(F.when(F.col("score") > mid, F.col("score")))).first()
-        if row[0] >= k:
-            if row[1] == high and (row[2] is None or row[1] == low):
-                return high
-            high = row[1]
-            if low == high:
-                return high
-            below = scored.where(F.col("score") < high).agg(F.count("*"), F.max("score")).first()
-            if below[0] < k:
-                return high
-            high = below[1]
-        else:
-            low = row[2]
+    below = 0
+    while low < high:
+        place = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        rows = scored.where(F.col("score").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()
+        for r in sorted(rows, key=lambda r: r.bin):
+            if below + r.n >= k:
+                low, high = r.low, r.high
+                break
+            below += r.n
+    return low
 
 
 def threshold(scored: DataFrame, explicit: float = 0.0) -> float:
@@ -53,8 +50,6 @@ def threshold(scored: DataFrame, explicit: float = 0.0) -> float:
     n = scored.count()
     if not n:
         return 0.0
-    import math
-
     k = max(1, math.ceil(min(max(0.05 * n, 1.0), 0.2 * n)))
     return _kth(scored, k) * 1.0001
 
