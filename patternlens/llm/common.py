@@ -21,7 +21,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that a Python worker looks at in one go.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 
@@ -147,6 +147,8 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, row
 
 
+#: Powers that a worker keeps; longer texts have theirs computed when they come.
+KEPT_POWERS = 1 << 23
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
@@ -155,7 +157,7 @@ _BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
-        if size <= 2 * SLICE_BYTES:
+        if size <= KEPT_POWERS:
             _POWERS.clear()
         up, down = np.empty(size, _U), np.empty(size, _U)
         inverse = pow(_BASE, -1, 1 << 64)
@@ -166,7 +168,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 up[done : 2 * done] = up[:done] * _U(pow(_BASE, done, 1 << 64))
                 down[done : 2 * done] = down[:done] * _U(pow(inverse, done, 1 << 64))
                 done *= 2
-        if size > 2 * SLICE_BYTES:
+        if size > KEPT_POWERS:
             return up, down
         _POWERS[size] = up, down
     return _POWERS[size]
