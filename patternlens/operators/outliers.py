@@ -11,9 +11,15 @@ from ..functions.text import ngram_words, ngrams
 from .result import OUTLIERS, Summary
 
 
+def _exploded(entries: DataFrame, n: int, *keep: str) -> DataFrame:
+    """A row for each n-gram. The words are a column of their own first: inside the windows they would be split anew for each."""
+    split = entries.select(*keep, ngram_words(F.col("content")).alias("words"))
+    return split.select(*keep, F.explode(ngrams(F.col("words"), n)).alias("ngram"))
+
+
 def ngram_counts(entries: DataFrame, n: int = 2) -> DataFrame:
     """(ngram, n): how often each occurs over all entries."""
-    return entries.select(F.explode(ngrams(ngram_words(F.col("content")), n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    return _exploded(entries, n).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def scores(entries: DataFrame, n: int = 2) -> DataFrame:
@@ -21,7 +27,7 @@ def scores(entries: DataFrame, n: int = 2) -> DataFrame:
 
     Counts are summed as whole numbers and divided once, so the order of the rows does not matter.
     """
-    each = entries.select("src", "idx", F.explode(ngrams(ngram_words(F.col("content")), n)).alias("ngram"))
+    each = _exploded(entries, n, "src", "idx")
     counts = ngram_counts(entries, n)
     total = counts.agg(F.sum("n").cast("double").alias("total"))
     own = each.join(counts, "ngram").groupBy("src", "idx").agg(F.sum("n").cast("double").alias("hits"), F.count("*").cast("double").alias("grams"))
