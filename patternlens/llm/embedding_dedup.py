@@ -1,14 +1,14 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors: every pair of distinct vectors is compared, in blocks.
 
-Each pass orders all vectors lexicographically by the concatenated signs of random
-projections, ties by the first projection itself, and compares every vector with the
-neighbours in a bounded window after it. Pairs found in any pass are united. Equal vectors are
-one class from the start, so a window is never filled by copies. A group wider than a window
-is still one component, as its members follow one another; the number of links is then
-counted within each component over all its pairs, in blocks.
+Equal vectors are one class from the start. Classes are dealt out evenly over blocks by a hash,
+and each pair of blocks is one group of rows, so no task holds more than two blocks and no group
+of near copies lands in one task. A pair is decided once: single precision leaves out what its
+largest rounding error cannot bring to the threshold, and double precision decides what is
+within that error. A task counts the links of its classes and sends on, of the links, a
+forest that connects the same classes.
 
-Two vectors at cosine 0.95 share a sign with probability 0.9. A pair is missed if no pass
-brings it into a window; pairs that straddle two ranges of a pass are left to the others.
+Nothing is estimated, so no link is missed; the price is time that grows with the square of the
+number of distinct vectors, and rows that are sent once to each block.
 """
 
 from __future__ import annotations
@@ -23,99 +23,85 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stash
 from .graph import components
-from .vectors import bytes_of, grouped, matrix, stacked, usable, width
+from .vectors import grouped, matrix, stacked, usable, width
+
+#: Rows and bytes of a block at most; blocks at least, as soon as they have LEAST rows each.
+BLOCK, BLOCK_BYTES, SPREAD, LEAST = 65_536, 32 << 20, 8, 256
+#: Shuffle partitions of block pairs at most.
+MOST_TASKS = 4_096
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all pairs of unit rows at a cosine of ``threshold`` or more, a tile at a time; without ``b``, pairs i < j of ``a``."""
+    other = a if b is None else b
+    short, short_other = a.astype(np.float32), other.astype(np.float32)
+    slack, some = (a.shape[1] + 8) * 2.0**-23, max(1, (1 << 21) // max(1, a.shape[1]))
+    for lo in range(0, len(a), 256):
+        for at in range(lo if b is None else 0, len(other), 4096):
+            cos = short[lo : lo + 256] @ short_other[at : at + 4096].T
+            i, j = np.divmod(np.flatnonzero(cos.ravel() >= threshold - slack), cos.shape[1])
+            near = cos[i, j].astype(np.float64)
+            i, j = i + lo, j + at
+            if b is None:
+                ahead = i < j
+                i, j, near = i[ahead], j[ahead], near[ahead]
+            ok = near >= threshold + slack
+            for part in np.array_split(np.flatnonzero(~ok), len(ok) // some + 1):
+                ok[part] = np.einsum("ij,ij->i", a[i[part]], other[j[part]]) >= threshold
+            if ok.any():
+                yield i[ok], j[ok]
 
-PASSES, SIGNS, NEIGHBOURS, BLOCK = 12, 32, 64, 1_024
 
+def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites the ends of links sorted by ``i``, in place."""
+    cuts = np.flatnonzero(np.diff(i)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+        ends = np.append(j[lo:hi], i[lo])
+        root = parent[ends]
+        while not np.array_equal(up := parent[root], root):
+            root = up
+        parent[root] = parent[ends] = root.min()
 
-def _links(classes: DataFrame, dim: int, threshold: float, passes: int, signs: int, neighbours: int, seed: int) -> DataFrame:
-    """(u, v): enough of the pairs that the passes find to connect all that any of them connects."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions = np.random.default_rng(seed).normal(size=(dim, passes * signs))
-        weigh = 1 << np.arange(signs - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            unit = stacked(batch.column(1))
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            shadow = unit @ directions
-            for p in range(passes):
-                part = shadow[:, p * signs : (p + 1) * signs]
-                yield pa.record_batch([pa.array([p] * len(unit), pa.int32()), pa.array((part > 0) @ weigh, pa.int64()), pa.array(part[:, 0]), batch.column(0), bytes_of(unit)], names=["pass", "key", "shadow", "cls", "unit"])
+def _compared(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
+    """(cls, others, up): how many rows of other classes a class links with in a pair of blocks, and a class it hangs under there."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[bytes, bytes] = {}
-
-        def root(x: bytes) -> bytes:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
-        last, tail_ids, tail = None, [], np.zeros((0, dim))
-        for batch in batches:
-            of, ids, unit = np.array(batch.column(0).to_pylist()), batch.column(3).to_pylist(), stacked(batch.column(4))
-            for p in dict.fromkeys(of.tolist()):
-                at = np.flatnonzero(of == p)
-                if p != last:
-                    last, tail_ids, tail, parent = p, [], np.zeros((0, dim)), {}
-                own, rows = tail_ids + [ids[i] for i in at], np.concatenate([tail, unit[at]])
-                us, vs = [], []
-                for lo in range(0, len(own), 256):
-                    hi = min(len(own), lo + 256 + neighbours)
-                    cos = rows[lo : min(lo + 256, len(own))] @ rows[lo:hi].T
-                    i, j = np.nonzero(cos >= threshold - 1e-9)
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                        if 0 < y - x <= neighbours and (a := root(own[lo + x])) != (b := root(own[lo + y])) and float(np.dot(rows[lo + x], rows[lo + y])) >= threshold:
-                            parent[max(a, b)] = min(a, b)
-                            us.append(own[lo + x])
-                            vs.append(own[lo + y])
-                tail_ids, tail = own[-neighbours:], rows[-neighbours:]
-                yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
-
-    order = ["pass", "key", "shadow", "cls"]
-    placed = classes.select("cls", "vec").mapInArrow(place, "pass int, key long, shadow double, cls binary, unit binary")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, "u binary, v binary")
-
-
-def _counts(classes: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
-    """(cls, others): how many rows of other classes each class links with, over all pairs of its component.
-
-    A component of more than BLOCK classes is dealt out in blocks, and pairs of blocks are
-    counted apart; no task holds more than two blocks.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), rows in grouped(batches, 3):
-            side, ids, copies = (rows.column(k).to_pylist() for k in (3, 4, 5))
-            unit = stacked(rows.column(6))
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            side, copies = np.array(side), np.array(copies, np.int64)
-            a, b = (np.arange(len(ids)),) * 2 if lo == hi else (np.flatnonzero(side == lo), np.flatnonzero(side == hi))
-            total = np.zeros(len(ids), np.int64)
-            for i in range(0, len(a), 512):
-                near = unit[a[i : i + 512]] @ unit[b].T >= threshold
-                if lo == hi:
-                    near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-                else:
-                    total[b] += near.T @ copies[a[i : i + 512]]
-                total[a[i : i + 512]] += near @ copies[b]
-            yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(total)], names=["cls", "others"])
-
-    sizes = placed.groupBy("label").agg(F.count("*").alias("size")).select("label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(sizes, "label").join(classes, F.col("node") == F.col("cls")).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["label", "lo", "hi"]
-    rows = rows.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "copies", "vec")
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count, "cls binary, others long")
-    return found.groupBy("cls").agg(F.sum("others").alias("others"))
-
-
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, passes: int = PASSES, signs: int = SIGNS, neighbours: int = NEIGHBOURS, seed: int = 11) -> DataFrame:
+        key, ids, copies, unit = None, [], np.zeros(0, np.int64), np.zeros((0, dim))
+        for (lo, hi, side), rows in grouped(batches, 3):
+            own, own_copies, own_unit = rows.column(3).to_pylist(), np.array(rows.column(4).to_pylist(), np.int64), stacked(rows.column(5))
+            own_unit = own_unit / np.linalg.norm(own_unit, axis=1, keepdims=True)
+            if side == 0:
+                key, ids, copies, unit = (lo, hi), own, own_copies, own_unit
+                if lo < hi:
+                    continue
+            elif key != (lo, hi):
+                continue
+            first = len(ids) if side else 0  # where the second side's classes are numbered from
+            names, weight = (ids + own, np.concatenate([copies, own_copies])) if side else (ids, copies)
+            parent, total = np.arange(len(names)), np.zeros(len(names), np.int64)
+            for i, j in close_pairs(unit, own_unit if side else None, threshold):
+                j = j + first
+                np.add.at(total, i, weight[j])
+                np.add.at(total, j, weight[i])
+                _unite(parent, i, j)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array([names[k] for k in at], pa.binary()), pa.array(total[at]), pa.array([names[k] for k in parent[at]], pa.binary())], names=["cls", "others", "up"])
+
+    blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, dim))))), min(SPREAD, -(-n // LEAST)))
+    keys = ["lo", "hi", "side"]
+    rows = classes.withColumn("own", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "copies", "vec")
+    return rows.repartition(min(MOST_TASKS, blocks * (blocks + 1) // 2), "lo", "hi").sortWithinPartitions(*keys).mapInArrow(compare, "cls binary, others long, up binary")
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
-    Cosines are taken in double precision over all components; a shorter vector counts as
-    followed by zeros. Vectors that are null, empty or zero, or hold a null or non-finite
+    All pairs of rows are compared and links are decided in double precision over all components;
+    a shorter vector counts as followed by zeros. Vectors that are null, empty or zero, or hold a null or non-finite
     component, link with nothing and are their own component. Equal vectors link. Repeated rows
     count one by one; a null id is never the smallest of a component. An empty table gives none.
     """
@@ -137,8 +123,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     with small_batches(vectors.sparkSession):
         rows = stash(vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), usable(vec).alias("ok")).mapInArrow(read, "id long, cls binary, vec binary"), "vectors")
         classes = stash(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vector-classes")
-        found = stash(components(_links(classes, dim, threshold, passes, signs, neighbours, seed)), "vector-components")
-        others = stash(_counts(classes.select("cls", "copies", "vec"), found, threshold), "vector-links")
+        compared = stash(_compared(classes.select("cls", "copies", "vec"), classes.count(), dim, threshold), "vector-links")
+        found = stash(components(compared.select(F.col("cls").alias("u"), F.col("up").alias("v"))), "vector-components")
+        others = compared.groupBy("cls").agg(F.sum("others").alias("others"))
     whole = classes.select("cls", "least", "copies").join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     least = whole.groupBy("label").agg(F.min("least").alias("component_id"))
     about = whole.join(least, "label").join(others, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

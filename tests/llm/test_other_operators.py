@@ -49,6 +49,48 @@ def test_near_duplicate_vectors(spark, block, monkeypatch):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def unit(rows):
+    return rows / np.linalg.norm(rows, axis=-1, keepdims=True)
+
+
+def around(centre, rng, n, low, high):
+    """Unit vectors at a cosine from low to high to the centre, in directions of their own."""
+    side = rng.normal(size=(n, len(centre)))
+    side = unit(side - (side @ centre)[:, None] * centre)
+    cos = rng.uniform(low, high, size=(n, 1))
+    return cos * centre + np.sqrt(1 - cos**2) * side
+
+
+def linked(spark, rows):
+    """(n_links, component_id) of each row by the operator and by brute force."""
+    rows = np.float32(rows)
+    full = unit(rows.astype(float))
+    near = full @ full.T >= 0.95
+    np.fill_diagonal(near, False)
+    of = brute.roots(len(rows), np.argwhere(near).tolist())
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors(spark, list(enumerate(rows.tolist())))).collect()}
+    return got, {i: (int(near[i].sum()), of[i]) for i in range(len(rows))}
+
+
+def test_vectors_around_one(spark):
+    rng = np.random.default_rng(4)
+    centre = unit(rng.normal(size=256))
+    got, want = linked(spark, np.concatenate([around(centre, rng, 1_200, 0.951, 0.965), centre[None]]))
+    assert want[1_200] == (1_200, 0) and {n for n, _ in want.values()} == {1, 1_200}
+    assert got == want
+
+
+def test_close_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    rows = unit(rng.normal(size=(300, 8)))
+    rows[150:] = around(rows[0], rng, 150, 0.95 - 1e-7, 0.95 + 1e-7)
+    want = {(i, j) for i, j in np.argwhere(np.einsum("ik,jk->ij", rows, rows) >= 0.95).tolist() if i < j}
+    assert 20 < sum(i == 0 for i, _ in want) < 130
+    assert {(int(x), int(y)) for i, j in embedding_dedup.close_pairs(rows, None, 0.95) for x, y in zip(i, j, strict=True)} == want
+    two = {(int(x), int(y) + 150) for i, j in embedding_dedup.close_pairs(rows[:150], rows[150:], 0.95) for x, y in zip(i, j, strict=True)}
+    assert two == {(i, j) for i, j in want if i < 150 <= j}
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_top_k(spark, block, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", block)
