@@ -80,6 +80,16 @@ def test_vectors_around_one(spark):
     assert got == want
 
 
+def test_pairs_in_a_dense_topic(spark):
+    rng = np.random.default_rng(7)
+    topic, rows = unit(rng.normal(size=64)), unit(rng.normal(size=(4_000, 64)))
+    rows[:2_000] = unit(math.sqrt(0.85) * topic + math.sqrt(0.15) * unit(rng.normal(size=(2_000, 64))))
+    rows[2_000:2_300] = [around(r, rng, 1, 0.95, 0.98)[0] for r in rows[:300]]
+    got, want = linked(spark, rows)
+    assert sum(n for n, _ in want.values()) >= 600
+    assert got == want
+
+
 def test_close_pairs_at_the_threshold():
     rng = np.random.default_rng(6)
     rows = unit(rng.normal(size=(300, 8)))
