@@ -90,6 +90,19 @@ def test_pairs_in_a_dense_topic(spark):
     assert got == want
 
 
+def test_near_duplicate_vectors_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = np.random.default_rng(8)
+    rows = unit(rng.normal(size=(40, 32)))
+    rows[20:] = [around(r, rng, 1, 0.951, 0.955)[0] for r in rows[:20]]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "480")
+        got, want = linked(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
 def test_close_pairs_at_the_threshold():
     rng = np.random.default_rng(6)
     rows = unit(rng.normal(size=(300, 8)))
