@@ -73,6 +73,18 @@ def split_ids(ids: list[int], separator: int, n: int) -> list[np.ndarray]:
     return [flat[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _unfold(folded: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Gives words beyond ASCII their letters back: the file composes before it folds, and some marks compose with one case only."""
+    high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    has = high[end] > high[start]
+    if has.any():
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[start[has]] += 1
+        edge[end[has]] -= 1
+        own = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        folded[own] = data[own]
+
+
 class WordEncoder:
     """Ids under a tokenizer file that folds case and drops white space before it looks for words.
 
@@ -103,6 +115,7 @@ class WordEncoder:
         """An array of ids for each text."""
         folded = lower_ascii(data)
         start, end, row = words(offsets, folded)
+        _unfold(folded, data, start, end)
         ids, sizes = self.cache.ids(word_hashes(folded, start, end), lambda i: folded[start[i] : end[i]].tobytes().decode())
         edges = np.concatenate([[0], np.cumsum(np.bincount(row, sizes, len(offsets) - 1))]).astype(np.int64)
         out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]

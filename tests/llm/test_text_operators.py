@@ -168,6 +168,16 @@ def test_chunk_cache_forgets_and_keeps_right():
         assert sizes.tolist() == [len(p) for p in parts] and ids.tolist() == [x for p in parts for x in range(len(p))]
 
 
+def test_marks_that_compose_with_one_case():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    texts = ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "a JH\u0331", "", "Plain H", "\u0331H", "H\u0331", "h\u0331 É E\u0301 ABC"]
+    raw = [t.encode() for t in texts]
+    got = tokens.WordEncoder(path).encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    assert [x.tolist() for x in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sentencepiece_parity(spark):
     import sentencepiece
 
