@@ -14,15 +14,17 @@ high u64[], samples u32[] padded to 8, ids.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stash, utf8
+from .common import shared_dir, slices, small_batches, stash, utf8
 from .tokens import encoder, release
 
 MAGIC, HEAD, EVERY = b"PLEF", struct.Struct("<4sHHQQIIIIII"), 64
@@ -141,16 +143,43 @@ def ranges(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
     return sorted({at[min(len(at) - 1, round(MAX_RANGES * i / want) - 1)] for i in range(1, want)}) if at else []
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder among the shared ones, as a URI."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patternlens/token-shards-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    uri = fs.makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _put(fs: pa.fs.FileSystem, folder: str, name: str, raw: bytes) -> None:
+    """A whole file or none: a hidden name first, which no reader lists."""
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        out.write(raw)
+    fs.move(own, f"{folder}/{name}")
+
+
+def shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(range_no, shard_no, n_docs, n_ids, shard) of the files in a folder; the numbers are in their names."""
+    part = lambda k, kind: F.regexp_extract("path", r"ids-(\d+)-(\d+)-(\d+)-(\d+)\.plef$", k).cast(kind)
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(part(1, "int").alias("range_no"), part(2, "long").alias("shard_no"), part(3, "long").alias("n_docs"), part(4, "long").alias("n_ids"), F.col("content").alias("shard"))
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes every text and writes shards in rising order of doc id; returns the table of shards.
 
-    The table (range_no, shard_no, n_docs, n_ids, shard) lies in the shared folder, written by
-    Spark's own committer, so a lost executor leaves no half file. Null and empty texts have only
+    Each shard is a file in the shared folder, written by the task that made it under a hidden
+    name and then renamed, so a lost executor leaves no half file and a repeated task the same one.
+    The table (range_no, shard_no, n_docs, n_ids, shard) reads these files. Null and empty texts have only
     the end id; null doc ids come first; equal doc ids stand in the order of their ids' bytes; an
     empty table gives no shard. Other columns are not read. No group of rows is held: a shard is
     closed at ``shard_ids`` ids, and a longer document is a shard of its own.
     """
     bounds = ranges(docs, id_col, text_col)
+    folder = _folder(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, edges = encoder(tokenizer_path), np.array(bounds, np.int64)
@@ -166,11 +195,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer_path).dtype
         release()
+        fs, place = pa.fs.FileSystem.from_uri(folder)
         now, number, held_ids, held, count = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = {"range_no": [now], "shard_no": [number], "n_docs": [len(held)], "n_ids": [count], "shard": [pack(held_ids, held)]}
-            return pa.RecordBatch.from_pydict(row, pa.schema([("range_no", pa.int32()), ("shard_no", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())]))
+            name = f"ids-{now:05d}-{number:06d}-{len(held)}-{count}.plef"
+            _put(fs, place, name, pack(held_ids, held))
+            return pa.record_batch([pa.array([name])], names=["name"])
 
         for batch in batches:
             at, raw = utf8(batch.column(2))
@@ -190,7 +221,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
     encoded = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, "range_no int, id long, ids binary")
     ordered = encoded.repartition(len(bounds) + 1, "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_first(), "ids")
     with small_batches(docs.sparkSession):
-        return stash(ordered.mapInArrow(shards, "range_no int, shard_no long, n_docs long, n_ids long, shard binary"), "token-shards")
+        ordered.mapInArrow(shards, "name string").agg(F.count("*")).collect()
+    return shard_files(docs.sparkSession, folder)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -205,7 +237,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 r, s, raw = (c[k].as_py() for c in batch.columns)
                 shard = Shard(raw)
-                edges = np.append(shard.bounds.all(), shard.n_ids)
+                edges = np.array([shard.start(i) for i in range(shard.n + 1)], np.int64)
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 n = shard.n
                 yield pa.record_batch(

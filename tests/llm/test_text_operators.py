@@ -151,6 +151,17 @@ def test_token_shards(spark, tmp_path):
     assert tokenfile.read_documents(tokenfile.write_shards(frame(spark, []), path)).count() == 0
 
 
+def test_token_shards_are_files(spark):
+    path = tokenizer_file("word_bpe_49k.json")
+    shards = tokenfile.write_shards(frame(spark, [(i, "some words " * (i % 7)) for i in range(200)]), path, shard_ids=256)
+    files = [f.removeprefix("file://") for f in shards.inputFiles()]
+    assert len(files) == shards.count() > 1 and all(f.endswith(".plef") for f in files)
+    found = {d: (r.shard_no, s.document(k).tolist()) for f, r in ((f, r) for r in shards.collect() for f in files if f"-{r.shard_no:06d}-" in f) for s in [tokenfile.Shard(open(f, "rb").read())] for k, d in enumerate(s.doc_ids)}
+    got = {r.doc_id: r for r in tokenfile.read_documents(shards).collect()}
+    assert {i: (r.n_tokens, r.ids_crc32) for i, r in got.items()} == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, (_, x) in found.items()}
+    assert len(got) == 200
+
+
 @pytest.mark.parametrize("n,top", [(0, 0), (1, 0), (1, 9), (200, 0), (200, 150), (500, 10**7), (64, 64 << 30)])
 def test_elias_fano(n, top):
     v = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
