@@ -148,7 +148,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 #: Powers that a worker keeps; longer texts have theirs computed when they come.
-KEPT_POWERS = 1 << 23
+KEPT_POWERS = 1 << 21
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
