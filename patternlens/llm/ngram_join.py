@@ -308,9 +308,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest, each once; texts without words all stay.
 
-    Rows that share both id and text are one row; rows that share an id alone are kept or dropped together.
+    Rows that share both id and text are one row; rows that share an id alone are kept or dropped
+    together; a null id is an id like others, and stays if no component has a smaller one. Has the
+    columns of ``docs``, whatever their names.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id"), (F.col("n_shingles") == 0).alias("wordless")).distinct()
-    rows = docs.withColumn("text_md5", F.md5(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")))
-    return rows.dropDuplicates([id_col, "text_md5"]).select(*docs.columns)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.md5(text_col).alias("text_md5"))
+    one = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["own_id", "text_md5"])
+    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -212,8 +212,10 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers; ``round_trip`` says
     whether decoding gives the text back. Null counts as the empty text, which has no ids. Ties
     and repeated rows are rows of their own; an empty table gives none. A long text is encoded
-    whole. Only the named columns are read.
+    whole. Only the named columns are read; a kept column with the name of a result has ``kept_`` before it.
     """
+    results = ("n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids)
+    names = [f"kept_{c}" if c in results else c for c in keep]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(model_path, PieceEncoder)
@@ -226,7 +228,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
                 columns = [*(batch.column(k).slice(lo, hi - lo) for k in range(1, batch.num_columns)), pa.array([len(x) for x in found], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32) if found else [], pa.int32())))
-                yield pa.record_batch(columns, names=[*keep, "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids])
+                yield pa.record_batch(columns, names=[*names, *results])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kept = ", ".join(f"`{name}` {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, keep, strict=True))
     return docs.select(F.col(text_col), *keep).mapInArrow(encode, f"{kept}, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)

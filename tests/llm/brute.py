@@ -66,18 +66,21 @@ def report(rows: list[tuple], window: int = 400) -> list[tuple]:
     return out
 
 
-def without_passages(texts: list[str | None], k: int, window: int = 51) -> str:
-    """The k-th text without every run of ``window`` words that also starts elsewhere, and what stands inside such runs."""
+def all_without_passages(texts: dict, window: int = 51) -> dict:
+    """Each text without every run of ``window`` words that also starts elsewhere, and what stands inside such runs."""
     places: dict[tuple, int] = {}
-    for t in texts:
+    for t in texts.values():
         w = words(t)
         for i in range(len(w) - window + 1):
             places[tuple(w[i : i + window])] = places.get(tuple(w[i : i + window]), 0) + 1
-    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[k])]
-    w = words(texts[k])
-    gone = [False] * len(texts[k])
-    for i in range(len(w) - window + 1):
-        if places[tuple(w[i : i + window])] > 1:
-            lo, hi = at[i][0], at[i + window - 1][1]
-            gone[lo:hi] = [True] * (hi - lo)
-    return "".join(c for c, g in zip(texts[k], gone, strict=True) if not g)
+    out = {}
+    for k, t in texts.items():
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        w = words(t)
+        gone = [False] * len(t or "")
+        for i in range(len(w) - window + 1):
+            if places[tuple(w[i : i + window])] > 1:
+                lo, hi = at[i][0], at[i + window - 1][1]
+                gone[lo:hi] = [True] * (hi - lo)
+        out[k] = None if t is None else "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    return out

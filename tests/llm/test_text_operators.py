@@ -125,15 +125,11 @@ def worded(seed=9):
 
 
 @pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 1])
-def test_repeated_passages(spark, crowd):
+def test_repeated_passages(spark, crowd, monkeypatch):
     rows = worded()
-    want = [(i, None if t is None else brute.without_passages([t for _, t in rows], k)) for k, (i, t) in enumerate(rows)]
-    monkey = suffix_dedup.CROWD
-    try:
-        suffix_dedup.CROWD = crowd
-        got = [(r.doc_id, r.text) for r in suffix_dedup.deduplicated(frame(spark, rows), unit=suffix_dedup.PASSAGES).collect()]
-    finally:
-        suffix_dedup.CROWD = monkey
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    want = [(i, t) for (i, _), t in zip(rows, brute.all_without_passages(dict(enumerate(t for _, t in rows))).values(), strict=True)]
+    got = [(r.doc_id, r.text) for r in suffix_dedup.deduplicated(frame(spark, rows), unit=suffix_dedup.PASSAGES).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     report = {r.doc_id: r for r in suffix_dedup.dedup_report(frame(spark, rows), unit=suffix_dedup.PASSAGES).collect()}
     assert report[60].n_removed == 799 and report[61].n_removed == len(" ".join(brute.words(rows[41][1])).encode()) and report[62].n_removed == 0
