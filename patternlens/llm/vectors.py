@@ -35,10 +35,10 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def stacked(column: pa.Array) -> np.ndarray:
-    """Rows of doubles kept as bytes."""
+def stacked(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """Rows of numbers kept as bytes, as doubles."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1) if values else np.zeros((0, 0))
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64, copy=False) if values else np.zeros((0, 0))
 
 
 def bytes_of(rows: np.ndarray) -> pa.Array:

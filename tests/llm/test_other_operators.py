@@ -178,3 +178,26 @@ def test_decoding_never_contradicts():
         score = {id(x): rng.uniform(-3, 3) for x in nodes[1:]}
         left = html_extract.decode(nodes, score)
         assert all(id(x) in left for x in nodes[1:] if id(x.parent) in left)
+
+
+@pytest.mark.parametrize("n", [3_000, 30_000])
+def test_recall_of_passes(n):
+    """Pairs at 0.95 to 0.97, in a topic of a third of all rows and outside: met in a window, or both ends known as dense."""
+    rng = np.random.default_rng(n)
+    rows = unit(rng.normal(size=(n, 64)))
+    rows[: n // 3] = unit(math.sqrt(0.8) * unit(rng.normal(size=64)) + math.sqrt(0.2) * unit(rng.normal(size=(n // 3, 64))))
+    at = np.r_[0:200, n // 2 : n // 2 + 200]
+    full = np.concatenate([rows, [around(rows[i], rng, 1, 0.95, 0.97)[0] for i in at]])
+    turns = embedding_dedup.passes_for(len(full), 0.95)
+    met, depth = np.zeros(400, bool), []
+    for turn in range(turns):
+        key = embedding_dedup.keys_of(full, turn)
+        order = np.argsort(key, kind="stable")
+        rank, own = np.empty(len(full), int), np.empty(len(full))
+        rank[order], own[order] = np.arange(len(full)), embedding_dedup.depths(key[order])
+        met |= np.abs(rank[at] - rank[n:]) <= embedding_dedup.WINDOW
+        depth.append(own)
+    missed = (1 - embedding_dedup.same_bit(0.95) ** np.quantile(depth, 0.75, axis=0)) ** turns
+    dense = missed > 1 - embedding_dedup.RECALL
+    assert (met | (dense[at] & dense[n:])).mean() >= 0.995
+    assert dense[n // 3 : n].mean() < 0.05  # only the dense place goes the other way
