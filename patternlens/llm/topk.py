@@ -1,38 +1,46 @@
 """Exact top-k inner products over a pivot-distance index.
 
-Adding a component sqrt(M - |x|^2), M the largest squared norm, makes the largest inner product
-the smallest distance. Each vector is keyed by its nearest pivot and its distance to it; a
-range of distances is an annulus, kept with its smallest and largest distance. A query first
-searches the annuli closest to it, which bounds its k-th score, and then only those that the
-triangle inequality cannot rule out: no point of an annulus is nearer than the gap between
-the query's own distance to the pivot and the annulus. Nothing is ruled out on an estimate.
+Each vector is keyed by its nearest pivot and its distance to it; a range of distances is an
+annulus. The index is a table sorted by pivot and annulus, and for each annulus the smallest and
+largest distance of its rows to their own pivot and to a few reference pivots, and their largest
+norm, are known. A query first searches the annuli around its own distance at its nearest pivots,
+which gives a floor for its k-th score, and then expands the others in order, but for those that
+cannot reach the floor. What rules an annulus out is the triangle inequality: with gap the least
+distance that a row can have by any of these pivots, a score is at most (|q|^2 + |x|^2 - gap^2) / 2;
+as a row is its pivot plus a residual no longer than the annulus' radius, it is also at most
+<q, pivot> + |q| radius. Nothing is ruled out on an estimate.
+
+Queries go in blocks of bounded size to where the index lies, once each, so no vector is shuffled
+for the search: a task multiplies the rows of an annulus with the queries that are open for it.
+Pivots, annuli and the fitting sample grow with the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
-from .vectors import bytes_of, grouped, matrix, stacked, usable, width
+from .common import small_batches, stash, unstash
+from .vectors import bytes_of, matrix, stacked, usable, width
 
-#: Pivots, annuli of each, rows of a block, vectors the pivots are fitted on; annuli that a query searches first.
-PIVOTS, ANNULI, BLOCK, SAMPLE, FIRST = 16, 8, 4_096, 2_048, 2
-NO_ID = (1 << 63) - 1
+#: Rows that an annulus aims at, annuli at most (the driver knows bounds of each), pivots at most, reference pivots.
+ANNULUS, MOST_ANNULI, MOST_PIVOTS, REFERENCES = 1_024, 65_536, 1_024, 8
+#: Vectors of the fitting sample for each pivot, and bytes of the sample and of a block of queries at most.
+FITTED, SAMPLE_BYTES, QUERY_BYTES = 32, 16 << 20, 8 << 20
+NO_ID, LEAST = (1 << 63) - 1, -(1 << 63)
 
 
 def whole(rows: np.ndarray) -> np.ndarray:
     return np.floor(1024 * rows)
 
 
-def _augment(rows: np.ndarray, most: float) -> np.ndarray:
-    return np.concatenate([rows, np.sqrt(np.maximum(most - (rows * rows).sum(1), 0))[:, None]], 1)
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
@@ -62,7 +70,57 @@ def fit_pivots(rows: np.ndarray, pivots: int) -> np.ndarray:
     return centre
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
+@dataclass
+class Index:
+    """Pivots, edges of the annuli of each, and what is known of each annulus (cell = pivot * annuli + place)."""
+
+    pivots: np.ndarray
+    edges: np.ndarray  # [pivots, annuli - 1]
+    cells: np.ndarray | None = None  # rising
+    low: np.ndarray | None = None  # [cells, 1 + references]: least and largest distance to the own pivot and to the references
+    high: np.ndarray | None = None
+    norm: np.ndarray | None = None
+
+    @property
+    def annuli(self) -> int:
+        return self.edges.shape[1] + 1
+
+    @property
+    def references(self) -> np.ndarray:
+        return self.pivots[:REFERENCES]
+
+    def place(self, rows: np.ndarray, pivot: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        return pivot * self.annuli + (gap[:, None] > self.edges[pivot]).sum(1)
+
+    def most(self, cell: int, query: np.ndarray, length: np.ndarray, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """No row of the cell scores more with these queries; raised by more than rounding can amount to.
+
+        ``own`` and ``others`` are the queries' distances to the cell's pivot and to the references.
+        """
+        i = int(np.searchsorted(self.cells, cell))
+        gap = np.concatenate([own[:, None], others], 1)
+        gap = np.maximum(np.maximum(gap - self.high[i], self.low[i] - gap).max(1), 0)
+        by_gap = (length**2 + self.norm[i] ** 2 - gap**2) / 2
+        by_radius = query @ self.pivots[cell // self.annuli] + length * self.high[i, 0]
+        slack = 1e-6 * (1 + (length + self.norm[i] + self.high[i].max()) ** 2)
+        return np.minimum(np.minimum(by_gap, by_radius), length * self.norm[i]) + slack
+
+
+def fit(sample: np.ndarray, n: int) -> Index:
+    """Pivots by farthest points and a few rounds of means over the sample, annuli of each by quantiles of its own distances."""
+    pivots = fit_pivots(sample, pivots_for(n))
+    gaps = _distances(sample, pivots)
+    near = gaps.argmin(1) if len(sample) else np.zeros(0, int)
+    annuli = max(2, min(MOST_ANNULI // len(pivots), -(-n // (ANNULUS * len(pivots)))))
+    steps = np.arange(1, annuli) / annuli
+    return Index(pivots, np.array([np.quantile(gaps[near == i, i], steps) if (near == i).any() else np.zeros(annuli - 1) for i in range(len(pivots))]))
+
+
+def pivots_for(n: int) -> int:
+    return max(1, min(MOST_PIVOTS, math.ceil(math.sqrt(n) / 2)))
+
+
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, seen: Accumulator | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest scores of each row whose id ``every`` divides.
 
     A score is the inner product of floor(1024 * x) of both vectors; ties go to the smaller id,
@@ -70,106 +128,139 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     rows is asked once, with the row that comes first by its vector's bytes. Vectors that are
     null, empty, or hold a null or non-finite component take no part; shorter ones count as
     followed by zeros. Fewer candidates than ``k`` give fewer rows, an empty table none. The
-    pivots are fitted on at most SAMPLE vectors; every vector is indexed.
+    pivots are fitted on a sample of FITTED vectors a pivot; every vector is indexed. ``seen``
+    is added the number of (query, row) pairs that were multiplied.
     """
     dim = max(1, width(vectors, vec_col))
-    with small_batches(vectors.sparkSession):
-        return _search(vectors, dim, id_col, vec_col, every, k)
+    with small_batches(vectors.sparkSession, rows=4_096):
+        return _search(vectors, dim, id_col, vec_col, every, k, seen)
 
 
-def _search(vectors: DataFrame, dim: int, id_col: str, vec_col: str, every: int, k: int) -> DataFrame:
+def _search(vectors: DataFrame, dim: int, id_col: str, vec_col: str, every: int, k: int, seen: Accumulator | None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = whole(matrix(batch.column(1), dim))
-            yield pa.record_batch([batch.column(0), bytes_of(rows), pa.array((rows * rows).sum(1))], names=["id", "vec", "norm"])
+            yield pa.record_batch([batch.column(0), bytes_of(whole(matrix(batch.column(1), dim)))], names=["id", "vec"])
 
-    vec = F.col(vec_col)
+    vec, spark = F.col(vec_col), vectors.sparkSession
     usable_rows = vectors.where(usable(vec)).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), vec.alias("vec"))
-    rows = stash(usable_rows.mapInArrow(read, "id long, vec binary, norm double"), "search-vectors")
-    most = rows.agg(F.max("norm")).first()[0] or 0.0
-    sample = [r.vec for r in rows.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").collect()]
-    points = _augment(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim), most)
-    pivots = fit_pivots(points, PIVOTS)
-    gaps = _distances(points, pivots)
-    near = gaps.argmin(1) if len(points) else np.zeros(0, int)
-    edges = [np.quantile(gaps[near == i, i], np.arange(1, ANNULI) / ANNULI) if (near == i).any() else np.zeros(ANNULI - 1) for i in range(len(pivots))]
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap = _distances(_augment(stacked(batch.column(1)), most), pivots)
-            pivot = gap.argmin(1)
-            own = gap[np.arange(len(gap)), pivot]
-            cell = [p * ANNULI + int(np.searchsorted(edges[p], d)) for p, d in zip(pivot.tolist(), own.tolist(), strict=True)]
-            yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(own), batch.column(0), batch.column(1)], names=["cell", "gap", "id", "vec"])
-
-    indexed = stash(rows.select("id", "vec").mapInArrow(index, "cell int, gap double, id long, vec binary"), "search-index")
-    cells = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")).collect()  # PIVOTS * ANNULI rows at most
-    cell_no = np.array([c.cell for c in cells], np.int64)
-    low, high, blocks = np.array([c.low for c in cells]), np.array([c.high for c in cells]), {c.cell: -(-c.n // BLOCK) for c in cells}
-    parts = F.coalesce(F.create_map(*[F.lit(x) for c in blocks.items() for x in c])[F.col("cell")], F.lit(1)) if blocks else F.lit(1)
-    asked = rows.where((F.col("id") % every == 0) & (F.col("id") != NO_ID)).groupBy("id").agg(F.min("vec").alias("vec"))
-
-    def bounds(q: np.ndarray) -> np.ndarray:
-        """No point of a cell is nearer to the query; lowered by more than rounding can amount to."""
-        gap = _distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)[:, cell_no // ANNULI]
-        slack = 1e-6 * (1 + gap + high)
-        return np.maximum(np.maximum(gap - high, low - gap) - slack, 0)
-
-    def first_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = stacked(batch.column(1))
-            order = np.argsort(bounds(q), axis=1, kind="stable")[:, :FIRST]
-            at = np.repeat(np.arange(len(q)), order.shape[1])
-            yield pa.record_batch([pa.array(cell_no[order.ravel()], pa.int32()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["cell", "id", "vec"])
+    rows = stash(usable_rows.mapInArrow(read, "id long, vec binary"), "search-vectors")
+    n = rows.count()
+    some = max(1, min(FITTED * pivots_for(n), SAMPLE_BYTES // (8 * dim)))
+    sample = [r.vec for r in rows.orderBy(F.xxhash64("id"), "id", "vec").limit(some).select("vec").collect()]
+    index = fit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim), n)
 
-    def other_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = stacked(batch.column(1))
+                gap = _distances(x, index.pivots)
+                pivot = gap.argmin(1)
+                own = gap[np.arange(len(gap)), pivot]
+                yield pa.record_batch([pa.array(index.place(x, pivot, own), pa.int32()), pa.array(own), *batch.columns], names=["cell", "gap", "id", "vec"])
+
+    keyed = rows.mapInArrow(key, "cell int, gap double, id long, vec binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = stash(keyed.repartitionByRange(parts, "cell", "gap", "id").sortWithinPartitions("cell", "gap", "id"), "search-index")
+    _describe(table, index)
+    asked = stash(rows.where((F.col("id") % every == 0) & (F.col("id") != NO_ID)).groupBy("id").agg(F.min("vec").alias("vec")), "search-queries")
+    unstash(rows)
+    blocks = max(1, -(-asked.count() * 8 * dim // (QUERY_BYTES // 2)))
+    found = None
+    for block in range(blocks):
+        part = sorted(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect())  # QUERY_BYTES or so
+        if part:
+            more = _answer(table, index, np.array([r.id for r in part], np.int64), np.frombuffer(b"".join(r.vec for r in part), np.float64).reshape(-1, dim), k, seen)
+            found = more if found is None else found.unionByName(more)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    return found.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
+
+
+def _describe(table: DataFrame, index: Index) -> None:
+    """Fills in what is known of each cell."""
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, floor = stacked(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            bound = bounds(q)
-            order = np.argsort(bound, axis=1, kind="stable")
-            reach = np.sqrt(np.maximum((q * q).sum(1) + most - 2 * floor, 0)) * (1 + 1e-6) + 1e-6
-            open_ = np.isnan(floor)[:, None] | (bound <= reach[:, None])
-            np.put_along_axis(open_, order[:, :FIRST], False, 1)
-            at, cell = np.nonzero(open_)
-            yield pa.record_batch([pa.array(cell_no[cell], pa.int32()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["cell", "id", "vec"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, block = None, np.zeros(0, np.int64), np.zeros((0, dim))
-        for now, part in grouped(batches, 3):
-            if now[:2] != key:
-                key, ids, block = now[:2], np.zeros(0, np.int64), np.zeros((0, dim))
-            own, x = np.array(part.column(3).to_pylist(), np.int64), stacked(part.column(4).combine_chunks())
-            if now[2] == 0:
-                order = np.argsort(own, kind="stable")
-                ids, block = own[order], x[order]
-                continue
-            for lo in range(0, len(own) if len(ids) else 0, 256):
-                q_ids, score = own[lo : lo + 256], _products(x[lo : lo + 256], block)
-                out: tuple = ([], [], [])
-                for q, s in zip(q_ids.tolist(), score, strict=True):
-                    ok = ids != q
-                    if len(s) > 4 * k:
-                        ok &= s >= np.partition(s[ok], -min(k, int(ok.sum())))[-min(k, int(ok.sum()))] if ok.any() else False
-                    at = np.flatnonzero(ok)
-                    at = at[np.argsort(-s[at].astype(object) if s.min(initial=0) == -(1 << 63) else -s[at], kind="stable")][:k]  # ids rise, so ties keep the smaller
-                    out[0].extend([q] * len(at))
-                    out[1].extend(ids[at].tolist())
-                    out[2].extend(s[at].tolist())
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
-
-    def run(queries: DataFrame, dealt) -> DataFrame:
-        placed = queries.mapInArrow(dealt, "cell int, id long, vec binary").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
-        data = indexed.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("block"), F.lit(0).alias("side"), "id", "vec")
-        data = data.join(placed.select("cell").distinct(), "cell", "left_semi")
-        both = data.unionByName(placed.select("cell", F.col("block").cast("int").alias("block"), F.lit(1).alias("side"), "id", "vec"))
-        return both.repartition("cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(scan, "query_id long, vec_id long, score long")
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    start = stash(top(run(asked.select("id", "vec"), first_cells)), "search-first")
-    kth = start.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    rest = run(asked.join(kth, "id", "left").select("id", "vec", "floor"), other_cells)
-    return top(start.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
+            if batch.num_rows:
+                x = stacked(batch.column(2))
+                gap = np.concatenate([batch.column(1).to_numpy()[:, None], _distances(x, index.references)], 1)
+                cell, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+                columns = [np.minimum.reduceat(gap, first), np.maximum.reduceat(gap, first)]
+                norm = np.maximum.reduceat(np.sqrt((x * x).sum(1)), first)
+                yield pa.record_batch([pa.array(cell, pa.int32()), *(pa.array(c[:, j]) for c in columns for j in range(gap.shape[1])), pa.array(norm)], names=["cell", *names])
+
+    m = 1 + len(index.references)
+    names = [f"{side}{j}" for side in ("low", "high") for j in range(m)] + ["norm"]
+    pick = [(F.min if c.startswith("low") else F.max)(c).alias(c) for c in names]
+    each = table.select("cell", "gap", "vec").mapInArrow(bounds, "cell int, " + ", ".join(f"{c} double" for c in names))
+    known = np.array(sorted(tuple(r) for r in each.groupBy("cell").agg(*pick).collect()), float).reshape(-1, 2 * m + 2)  # MOST_ANNULI rows at most
+    index.cells, index.low, index.high, index.norm = known[:, 0].astype(np.int64), known[:, 1 : 1 + m], known[:, 1 + m : 1 + 2 * m], known[:, -1]
+
+
+def _answer(table: DataFrame, index: Index, ids: np.ndarray, query: np.ndarray, k: int, seen: Accumulator | None) -> DataFrame:
+    """(query_id, vec_id, score, rank) of a block of queries."""
+    spark = table.sparkSession
+    gaps = _distances(query, index.pivots)
+    nearest = np.argsort(gaps, axis=1, kind="stable")[:, :2]
+    # the annulus around the query's own distance, or the fullest next to it
+    start = np.stack([index.place(query, p, gaps[np.arange(len(query)), p]) for p in nearest.T], 1)
+    start = index.cells[np.minimum(np.searchsorted(index.cells, start), len(index.cells) - 1)]
+    shared = spark.sparkContext.broadcast((ids, query, start))
+
+    def scan(floors):
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, query, start = shared.value
+            floor = None if floors is None else floors.value
+            length, others = np.sqrt((query * query).sum(1)), _distances(query, index.references)
+            last, own, pairs = -1, None, 0
+            for batch in batches:
+                cells, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]]) if len(cells) else [0]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    cell = int(cells[lo])
+                    first = (start == cell).any(1)
+                    if floor is None:
+                        open_ = np.flatnonzero(first)
+                    else:
+                        if cell // index.annuli != last:
+                            last = cell // index.annuli
+                            own = _distances(query, index.pivots[last : last + 1])[:, 0]
+                        open_ = np.flatnonzero(~first & (index.most(cell, query, length, own, others) >= floor))
+                    if not len(open_):
+                        continue
+                    x = stacked(batch.column(2).slice(lo, hi - lo))
+                    pairs += len(open_) * len(x)
+                    for at in range(0, len(open_), 512):
+                        some = open_[at : at + 512]
+                        yield best(ids[some], names[lo:hi], _products(query[some], x), k, None if floor is None else floor[some])
+            if seen is not None:
+                seen.add(pairs)
+
+        return multiply
+
+    schema = "query_id long, vec_id long, score long"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    slim = table.select("cell", "id", "vec")
+    begun = stash(top(slim.where(F.col("cell").isin(np.unique(start).tolist())).mapInArrow(scan(None), schema)), "search-first")
+    kth = {r.query_id: r.score for r in begun.where(F.col("rank") == k).select("query_id", "score").collect()}
+    floor = np.array([float(kth.get(int(i), LEAST)) for i in ids])
+    rest = slim.mapInArrow(scan(spark.sparkContext.broadcast(floor)), schema)
+    return stash(top(begun.select("query_id", "vec_id", "score").unionByName(rest)), "search-found")
+
+
+def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int, floor: np.ndarray | None) -> pa.RecordBatch:
+    """The ``k`` first rows of each query by score and id, of those that reach the floor."""
+    ok = ids[None, :] != query[:, None]
+    if floor is not None:
+        ok &= score >= floor[:, None]
+    out: tuple = ([], [], [])
+    for i in np.flatnonzero(ok.any(1)).tolist():
+        at = np.flatnonzero(ok[i])
+        at = at[np.lexsort((ids[at], -score[i, at].astype(object) if score[i].min() == LEAST else -score[i, at]))][:k]
+        for column, values in zip(out, (np.full(len(at), query[i]), ids[at], score[i, at]), strict=True):
+            column.append(values)
+    return pa.record_batch([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
 
 ORACLE = """

@@ -114,9 +114,10 @@ def test_close_pairs_at_the_threshold():
     assert two == {(i, j) for i, j in want if i < 150 <= j}
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_top_k(spark, block, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", block)
+@pytest.mark.parametrize("annulus", [1024, 8])
+def test_top_k(spark, annulus, monkeypatch):
+    monkeypatch.setattr(topk, "ANNULUS", annulus)
+    monkeypatch.setattr(topk, "QUERY_BYTES", annulus * 64)
     rows = some_vectors(2)
     full = dense(rows, 16)
     whole = [None if v is None else [int(math.floor(1024 * float(x))) for x in v] for v in full]
@@ -201,3 +202,28 @@ def test_recall_of_passes(n):
     dense = missed > 1 - embedding_dedup.RECALL
     assert (met | (dense[at] & dense[n:])).mean() >= 0.995
     assert dense[n // 3 : n].mean() < 0.05  # only the dense place goes the other way
+
+
+@pytest.mark.parametrize("kind,most", [("clusters", 0.15), ("one direction", 0.9), ("random", 1.0)])
+def test_share_of_rows_that_a_search_multiplies(spark, kind, most):
+    rng = np.random.default_rng(3)
+    n, dim = 12_000, 64
+    if kind == "clusters":
+        rows = rng.normal(size=(60, dim))[rng.integers(0, 60, n)] + 0.15 * rng.normal(size=(n, dim))
+    elif kind == "random":
+        rows = unit(rng.normal(size=(n, dim)))
+    else:
+        rows = unit(rng.normal(size=dim)) * rng.exponential(size=(n, 1)) + 0.05 * rng.normal(size=(n, dim))
+    seen = spark.sparkContext.accumulator(0)
+    got = topk.search(vectors(spark, list(enumerate(np.float32(rows).tolist()))), seen=seen).collect()
+    full = np.floor(1024 * np.float32(rows).astype(float))
+    want = []
+    for q in range(0, n, 100):
+        score = full @ full[q]
+        score[q] = -np.inf
+        order = np.lexsort((np.arange(n), -score))[:10]
+        want += [(q, k, int(i), int(score[i])) for k, i in enumerate(order, 1)]
+    assert sorted(tuple(r) for r in got) == want
+    share = seen.value / (n * (n // 100))
+    print(f"{kind}: {share:.3f} of all pairs")
+    assert share <= most
