@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
-from .common import slices, utf8, word_hashes, words
+from .common import mix64, slices, utf8, word_hashes, words
 
 BUCKET_BITS, DIM, GRAMS, PASSAGE_WORDS = 20, 4, (3, 4, 5), 3
-#: Training texts that must hold an n-gram before it gets a vector.
-LEAST_TEXTS = 3
+#: Training texts that must hold an n-gram before it gets a vector; bytes of a training text, whose passages beyond that are drawn by hash.
+LEAST_TEXTS, TEXT_BYTES = 3, 1 << 16
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[*range(9, 14), *b".,;:!?\"()|[]{}"]] = 32
@@ -64,6 +64,21 @@ def passages(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[head] - 1, row[head]  # the blank before a word belongs to it
 
 
+def drawn(text: np.ndarray) -> bytes:
+    """The folded text; of a longer one than TEXT_BYTES, as many whole passages as fit, drawn from all of it by a hash of their place."""
+    if len(text) <= TEXT_BYTES:
+        return _FOLD[text].tobytes()
+    data = _FOLD[text]
+    start, end, _ = words(np.array([0, len(data)]), data)
+    if not len(start):
+        return b""
+    lo, hi = start[::PASSAGE_WORDS], end[np.minimum(np.arange(PASSAGE_WORDS - 1, len(end) + PASSAGE_WORDS - 1, PASSAGE_WORDS), len(end) - 1)][: -(-len(start) // PASSAGE_WORDS)]
+    order = np.argsort(mix64(np.arange(1, len(lo) + 1, dtype=np.uint64)), kind="stable")
+    order = order[(hi - lo)[order] < TEXT_BYTES // 64]  # passages of no human size are left out of training
+    kept = np.sort(order[np.cumsum((hi - lo + 1)[order]) <= TEXT_BYTES])
+    return b" ".join(data[a:b].tobytes() for a, b in zip(lo[kept].tolist(), hi[kept].tolist(), strict=True))
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of each bucket: its vector times the difference of the softmax rows
@@ -102,12 +117,11 @@ def pool(logit: np.ndarray, first: np.ndarray, sharpness: float) -> tuple[np.nda
     return np.add.reduceat(part * logit, first), part
 
 
-def calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
+def calibrated(model: Model, texts: list[bytes], label: np.ndarray) -> Model:
     """The model with its logits rescaled so that they fit labels it has not seen, classes weighed alike."""
     if len(set(label.tolist())) < 2:
         return model
-    raw = [t.encode() for t in texts]
-    z = np.concatenate([model.logits(np.cumsum([0, *map(len, part)]), np.frombuffer(b"".join(part), np.uint8)) for part in (raw[i : i + 100] for i in range(0, len(raw), 100))])
+    z = np.concatenate([model.logits(np.cumsum([0, *map(len, part)]), np.frombuffer(b"".join(part), np.uint8)) for part in (texts[i : i + 100] for i in range(0, len(texts), 100))])
     y = label.astype(np.float64)
     weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     centre, spread = z.mean(), z.std() + 1e-6
@@ -119,14 +133,14 @@ def calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
     return model
 
 
-def fit(texts: list[str], label: np.ndarray, **options) -> Model:
+def fit(texts: list[bytes], label: np.ndarray, **options) -> Model:
     """Trains on four fifths of the texts and calibrates the logits on the others."""
     other = np.arange(len(texts)) % 5 == 4
     pick = lambda mask: [t for t, m in zip(texts, mask, strict=True) if m]
     return calibrated(train_vectors(pick(~other), label[~other], **options), pick(other), label[other])
 
 
-def train_vectors(texts: list[str], label: np.ndarray, *, steps: int = 80, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, sharpness: float = 1.0) -> Model:
+def train_vectors(texts: list[bytes], label: np.ndarray, *, steps: int = 80, rate: float = 0.2, decay: float = 1e-4, seed: int = 7, sharpness: float = 3.0) -> Model:
     """Trains vectors and softmax jointly, classes weighed alike. Without both classes every score is 0.5.
 
     The step size is scaled by the gradient's overall norm, not by each coordinate's: n-grams
@@ -135,9 +149,8 @@ def train_vectors(texts: list[str], label: np.ndarray, *, steps: int = 80, rate:
     none = Model(np.zeros(1 << BUCKET_BITS, np.float32), 0.0, sharpness)
     if len(set(label.tolist())) < 2:
         return none
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    offsets, data = padded(np.cumsum([0, *map(len, raw)]), data)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets, data = padded(np.cumsum([0, *map(len, texts)]), data)
     start, end, row = words(offsets, data[: offsets[-1]])
     if not len(start):
         return none
@@ -212,12 +225,23 @@ def frequent(ids: np.ndarray, of: np.ndarray, which: np.ndarray, row: np.ndarray
     return used[keep], number[ids[stay]], of[stay]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, toxic: int = 600, clean: int = 1_200) -> Model:
-    """Learns from at most ``toxic`` and ``clean`` labelled rows of the two classes outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, toxic: int = 1_200, clean: int = 2_400) -> Model:
+    """Learns from at most ``toxic`` and ``clean`` labelled rows of the two classes outside the held-out fold.
+
+    Rows come first by a hash of their id, and executors send at most TEXT_BYTES of a text's
+    passages, so what the driver holds is bounded whatever the texts. These bounds are all that is sampled.
+    """
     known = samples.one_label(labels.where(samples.remainder(id_col, folds) != held_fold), id_col, label_col)
     picked = samples.first_by_hash(known.where("label = 1"), toxic).unionByName(samples.first_by_hash(known.where("label = 0"), clean))
-    rows = sorted(samples.texts(docs, picked, id_col, text_col).select("id", "text", "label").collect(), key=lambda r: (zlib.crc32(r.text.encode()), r.text))
-    return fit([r.text for r in rows], np.array([r.label for r in rows]))
+
+    @F.arrow_udf("binary")
+    def take(text: pa.Array) -> pa.Array:
+        offsets, data = utf8(text)
+        return pa.array([drawn(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+
+    rows = [(bytes(r.raw), r.label) for r in samples.texts(docs, picked, id_col, text_col).select(take("text").alias("raw"), "label").collect()]
+    rows.sort(key=lambda r: (zlib.crc32(r[0]), r))
+    return fit([t for t, _ in rows], np.array([y for _, y in rows]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7) -> DataFrame:

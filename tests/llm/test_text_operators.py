@@ -281,3 +281,89 @@ def test_classifiers(spark):
         again = {(r.doc_id, round(r.score, 4)) for r in module.score_documents(frame(spark, docs).repartition(5), table).collect()}
         assert again == {(r.doc_id, round(r.score, 4)) for r in got}
         assert module.score_documents(frame(spark, docs[:5]), table.limit(0)).count() == 5 and module.score_documents(frame(spark, []), table).count() == 0
+
+
+def test_long_training_texts_are_drawn_from_everywhere():
+    text = " ".join(f"w{i}" for i in range(40_000)).encode()
+    got = toxicity.drawn(np.frombuffer(text, np.uint8))
+    assert 0.9 * toxicity.TEXT_BYTES < len(got) <= toxicity.TEXT_BYTES
+    places = [int(w[1:]) for w in got.decode().split()]
+    assert places == sorted(places) and max(places) > 35_000 and all(b == a + 1 for a, b in zip(places[::3], places[1::3], strict=False))
+    assert toxicity.drawn(np.frombuffer(b"Short, text", np.uint8)) == b"short  text" and toxicity.drawn(np.frombuffer(b"x" * 100_000, np.uint8)) == b""
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_toxicity(spark):
+    """Of the held-out documents that are labelled toxic and hold a word that mostly toxic ones hold, nearly all are found; of the clean ones few."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.score_documents(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("held_out")
+    counts = {(r.toxic, r.predicted): r["count"] for r in got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.9 * (counts[1, 1] + counts[1, 0]) and counts[0, 1] <= 0.03 * (counts[0, 0] + counts[0, 1])
+
+
+def plain_score(model, text):
+    """The score again, a word and an n-gram at a time."""
+    words_ = bytes(toxicity._FOLD[np.frombuffer(text.encode(), np.uint8)]).split()
+    z = min(model.bias, 0.0)
+    logits = []
+    for i in range(0, len(words_), toxicity.PASSAGE_WORDS):
+        total, n = 0.0, 0
+        for w in words_[i : i + toxicity.PASSAGE_WORDS]:
+            w = b" " + w + b" "
+            for size in toxicity.GRAMS:
+                for k in range(len(w) - size + 1):
+                    code = size
+                    for byte in w[k : k + size]:
+                        code = (code * 0x01000193 & 0xFFFFFFFF) ^ (byte + 1)
+                    code ^= code >> 15
+                    code = code * 0x2C1B3C6D & 0xFFFFFFFF
+                    code ^= code >> 13
+                    total, n = total + float(model.weight[code >> (32 - toxicity.BUCKET_BITS)]), n + 1
+        logits.append(total / max(n, 1) + model.bias)
+    if logits:
+        e = [np.exp(model.sharpness * (x - max(logits))) for x in logits]
+        z = sum(x * y for x, y in zip(e, logits, strict=True)) / sum(e)
+    return 1 / (1 + np.exp(-(model.scale * z + model.shift)))
+
+
+def test_toxicity_scores_by_brute_force():
+    docs, labels = classified(150)
+    model = toxicity.fit([t.encode() for _, t in docs[:150]], np.array([r[2] for r in labels]))
+    texts = [t or "" for _, t in docs[100:]] + ["a", "Éa b! c.d  e", "GRUMPFax, grumpfby"]
+    raw = [t.encode() for t in texts]
+    got = model.score(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-6)
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    width = quality.STATS + quality.BINS
+    rows = lambda n, share: np.where(rng.random(n) < share, 1.0, -1.0)[:, None] * np.eye(1, width) * 2 + rng.normal(size=(n, width)) * 0.5
+    for share in (0.3, 0.6, 0.9):
+        assert abs(quality.estimate_prior(rows(1_500, 1.0), rows(3_000, share)) - share) < 0.1
+    assert quality.estimate_prior(rows(5, 1.0), rows(100, 0.5)) == 0.5
+
+
+def plain_features(text):
+    """The features again, byte by byte and word by word."""
+    raw = text.encode()
+    w = [x.encode() for x in brute.words(text)]
+    symbol = lambda c: not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or c in b" \t\n\x0b\x0c\r")
+    n, m = max(len(raw), 1), max(len(w), 1)
+    share = lambda test: sum(map(test, raw)) / n
+    stats = [
+        np.log1p(len(w)), np.log1p(len(raw)), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(symbol), share(lambda c: c in b" \t\n\x0b\x0c\r"), share(lambda c: c >= 128), share(lambda c: c == 10),
+        len(raw) / m, len(set(w)) / m, sum(a == b for a, b in zip(w, w[1:], strict=False)) / m, sum(len(x) == 1 and symbol(x[0]) for x in w) / m,
+        sum(len(x) > 2 and symbol(x[-1]) and symbol(x[-2]) for x in w) / m, sum(len(x) > 1 and x[:2].isupper() and x[:2].isalpha() for x in w) / m, float(not w),
+    ]
+    bins = np.zeros(quality.BINS)
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        bins[((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 23] += 1
+    return np.concatenate([stats, np.sqrt(bins / max(len(raw) - 2, 1))])
+
+
+def test_quality_features_by_brute_force():
+    texts = ["", " \n", "a", "ab", "One two TWO two!! two!! 12 - $$ é", "Über ALL all a.b ???", "x" * 50_000, "word " * 40_000]
+    raw = [t.encode() for t in texts]
+    got = quality.features(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-5)
