@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .tokens import encoder, release
 
 MAGIC, HEAD, EVERY = b"PLEF", struct.Struct("<4sHHQQIIIIII"), 64
 #: Ids after which a shard ends, and texts in bytes that one range of doc ids aims at.
-SHARD_IDS, RANGE_BYTES, MAX_RANGES = 1 << 19, 32 << 20, 4096
+SHARD_IDS, RANGE_BYTES = 1 << 19, 32 << 20
 
 
 class EliasFano:
@@ -133,16 +134,6 @@ class Shard:
         return self.ids[self.start(i) : self.start(i + 1)]
 
 
-def ranges(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
-    """Doc ids that part the table into ranges of about RANGE_BYTES of text; at most MAX_RANGES."""
-    n = F.coalesce(F.octet_length(text_col), F.lit(0)) + 8
-    steps = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    found = docs.agg(F.sum(n).alias("bytes"), F.percentile_approx(F.col(id_col), steps, 20_000).alias("at")).first()
-    want = min(MAX_RANGES, max(1, -(-int(found["bytes"] or 0) // RANGE_BYTES)))
-    at = found["at"] or []
-    return sorted({at[min(len(at) - 1, round(MAX_RANGES * i / want) - 1)] for i in range(1, want)}) if at else []
-
-
 def _folder(spark: SparkSession) -> str:
     """A new folder among the shared ones, as a URI."""
     jvm = spark.sparkContext._jvm
@@ -171,32 +162,22 @@ def shard_files(spark: SparkSession, folder: str) -> DataFrame:
 def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes every text and writes shards in rising order of doc id; returns the table of shards.
 
-    Each shard is a file in the shared folder, written by the task that made it under a hidden
+    Texts are dealt out by ranges of doc ids, as many as their bytes ask for, and each task encodes
+    the texts of a range in order. Each shard is a file in the shared folder, written by the task that made it under a hidden
     name and then renamed, so a lost executor leaves no half file and a repeated task the same one.
     The table (range_no, shard_no, n_docs, n_ids, shard) reads these files. Null and empty texts have only
-    the end id; null doc ids come first; equal doc ids stand in the order of their ids' bytes; an
+    the end id; null doc ids come first; equal doc ids stand in the order of a hash of the text, so that
+    a frequent one spreads over several ranges; an
     empty table gives no shard. Other columns are not read. No group of rows is held: a shard is
     closed at ``shard_ids`` ids, and a longer document is a shard of its own.
     """
-    bounds = ranges(docs, id_col, text_col)
     folder = _folder(docs.sparkSession)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, edges = encoder(tokenizer_path), np.array(bounds, np.int64)
-        end = b"" if end_id is None else np.array([end_id], words.dtype).tobytes()
-        for batch in batches:
-            offsets, data = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 19):
-                ids = batch.column(0).slice(lo, hi - lo)
-                blobs = [x.tobytes() + end for x in words.encode(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])]
-                keys = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(np.searchsorted(edges, keys, "right"), pa.int32()), ids, pa.array(blobs, pa.binary())], names=["range_no", "id", "ids"])
-
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(tokenizer_path).dtype
-        release()
+        words, now = encoder(tokenizer_path), TaskContext.get().partitionId()
+        end = np.array([] if end_id is None else [end_id], words.dtype)
         fs, place = pa.fs.FileSystem.from_uri(folder)
-        now, number, held_ids, held, count = None, 0, [], [], 0
+        number, held_ids, held, count = 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             name = f"ids-{now:05d}-{number:06d}-{len(held)}-{count}.plef"
@@ -204,22 +185,24 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
             return pa.record_batch([pa.array([name])], names=["name"])
 
         for batch in batches:
-            at, raw = utf8(batch.column(2))
-            for i, (r, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                more = int(at[i + 1] - at[i]) // dtype().itemsize
-                if held and (r != now or count + more > shard_ids):
-                    yield close()
-                    number, held_ids, held, count = number + 1, [], [], 0
-                if r != now:
-                    now, number = r, 0
-                held_ids.append(d)
-                held.append(raw[at[i] : at[i + 1]].copy().view(dtype))
-                count += more
+            offsets, data = utf8(batch.column(1))
+            names = batch.column(0).to_pylist()
+            for lo, hi in slices(offsets, 1 << 19):
+                for d, ids in zip(names[lo:hi], words.encode(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]), strict=True):
+                    more = len(ids) + len(end)
+                    if held and count + more > shard_ids:
+                        yield close()
+                        number, held_ids, held, count = number + 1, [], [], 0
+                    held_ids.append(d)
+                    held.append(np.concatenate([ids, end]))
+                    count += more
         if held:
             yield close()
 
-    encoded = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, "range_no int, id long, ids binary")
-    ordered = encoded.repartition(len(bounds) + 1, "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_first(), "ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = max(1, -(-int(rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0) // RANGE_BYTES))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     with small_batches(docs.sparkSession):
         ordered.mapInArrow(shards, "name string").agg(F.count("*")).collect()
     return shard_files(docs.sparkSession, folder)

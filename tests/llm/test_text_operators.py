@@ -187,7 +187,8 @@ def test_token_shards(spark, tmp_path):
     key = lambda r: (r[0] is not None, r[0] or 0)
     ids = {i: own.encode(t or "", add_special_tokens=False).ids + [2] for i, (_, t) in enumerate(rows)}
     want, at = [], 0
-    for k in sorted(range(len(rows)), key=lambda k: (key(rows[k]), np.array(ids[k], np.uint16).tobytes())):
+    hashes = {t: h for t, h in frame(spark, rows).select("text", F.xxhash64("text")).collect()}
+    for k in sorted(range(len(rows)), key=lambda k: (key(rows[k]), hashes[rows[k][1]])):
         want.append((rows[k][0], at, len(ids[k]), zlib.crc32(np.array(ids[k], "<u4").tobytes())))
         at += len(ids[k])
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and shards.count() > 1
@@ -203,6 +204,7 @@ def test_token_shards_are_files(spark):
     path = tokenizer_file("word_bpe_49k.json")
     shards = tokenfile.write_shards(frame(spark, [(i, "some words " * (i % 7)) for i in range(200)]), path, shard_ids=256)
     files = [f.removeprefix("file://") for f in shards.inputFiles()]
+    assert tokenfile.write_shards(frame(spark, [(7, f"a hot id {i}") for i in range(50)]), path).agg(F.sum("n_docs")).first()[0] == 50
     assert len(files) == shards.count() > 1 and all(f.endswith(".plef") for f in files)
     found = {d: (r.shard_no, s.document(k).tolist()) for f, r in ((f, r) for r in shards.collect() for f in files if f"-{r.shard_no:06d}-" in f) for s in [tokenfile.Shard(open(f, "rb").read())] for k, d in enumerate(s.doc_ids)}
     got = {r.doc_id: r for r in tokenfile.read_documents(shards).collect()}
@@ -231,7 +233,7 @@ def test_marks_that_compose_with_one_case():
     from tokenizers import Tokenizer
 
     path = tokenizer_file("word_bpe_49k.json")
-    texts = ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "a JH\u0331", "", "Plain H", "\u0331H", "H\u0331", "h\u0331 É E\u0301 ABC"]
+    texts = ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "a JH\u0331", "", "Plain H", "\u0331H", "H\u0331", "h\u0331 É E\u0301 ABC", "end. two, a.b. It's. 12, 3.5, ... .. x.. é. É, 's. don't! '. a', <| <|x|>. ?a? a\u0301. ½. \u0331,", "Wait.\u0301 a,\u0338 b;"]
     raw = [t.encode() for t in texts]
     got = tokens.WordEncoder(path).encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
     assert [x.tolist() for x in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
@@ -367,3 +369,15 @@ def test_quality_features_by_brute_force():
     raw = [t.encode() for t in texts]
     got = quality.features(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
     assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-5)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_word_encoder_on_whole_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()][:400]
+    raw = [t.encode() for t in texts]
+    got = tokens.WordEncoder(path).encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    assert [x.tolist() for x in got] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
