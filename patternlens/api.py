@@ -18,10 +18,12 @@ from .plans.options import BLOCK, JSON, Options
 from .sources import json as json_source
 from .sources import text as text_source
 
-Source = str | DataFrame
+Source = str | DataFrame | text_source.Files
 
 
 def _documents(spark: SparkSession, source: Source) -> DataFrame:
+    if isinstance(source, text_source.Files):
+        return text_source.read_files(spark, *source.paths)
     return text_source.from_text(spark, source) if isinstance(source, str) else source
 
 
@@ -80,6 +82,9 @@ def _text_summary(entries: DataFrame, verb, group: str | None, options: Options)
 
 
 def text_entries(spark: SparkSession, source: Source, options: Options) -> DataFrame:
+    if isinstance(source, text_source.Files):
+        found = text_source.file_lines(spark, *source.paths)
+        return text_source.block_entries(found, options.entry_pattern) if options.input_format == BLOCK else text_source.line_entries(found)
     docs = _documents(spark, source)
     return text_source.blocks(docs, options.entry_pattern) if options.input_format == BLOCK else text_source.lines(docs)
 
@@ -87,7 +92,7 @@ def text_entries(spark: SparkSession, source: Source, options: Options) -> DataF
 def summarize(spark: SparkSession, source: Source, options: Options | None = None, input_file: str | None = None) -> Summary:
     """The analysis that the options ask for, as relations; nothing is collected but what an algorithm itself needs.
 
-    ``source`` is a text, or documents as a DataFrame (src, raw).
+    ``source`` is a text, documents as a DataFrame (src, raw), or files, whose lines are read in splits.
     """
     options = options or Options()
     stages = parse_pipeline(options.pipeline) if options.pipeline else []

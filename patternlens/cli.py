@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 from . import __version__, api
 from .plans.expr import SYNTAX, looks_like_pipeline
 from .plans.options import Options, format_of_file
+from .sources.text import Files
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -31,10 +33,10 @@ def arguments() -> argparse.ArgumentParser:
 
 
 def split_args(args: list[str]) -> tuple[str | None, str | None]:
-    """(pipeline, file): a readable file is a file, whatever it looks like."""
+    """(pipeline, file): a file or folder that is there is one, whatever it looks like, and so is a URL that Spark may read."""
     pipeline = file = None
     for a in args:
-        if os.path.isfile(a):
+        if os.path.exists(a) or re.match(r"\w+://", a):
             file = a
         elif looks_like_pipeline(a) and pipeline is None:
             pipeline = a
@@ -52,18 +54,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if file is None and not a.format:
             raise ValueError("standard input needs --format")
         options = Options(a.format or format_of_file(file), a.entry_pattern, pipeline, a.budget, a.ngram_size, a.outlier_threshold, a.depth)
-        if file is None:
-            text = sys.stdin.read()
-        else:
-            with open(file, encoding="utf-8", newline="") as f:
-                text = f.read()
+        if file is not None and "://" not in file and not os.path.exists(file):
+            raise FileNotFoundError(f"no such file: {file}")
+        source = sys.stdin.read() if file is None else Files((file if "://" in file else f"file://{os.path.abspath(file)}",))
         spark = spark or SparkSession.builder.appName("patternlens").getOrCreate()
         if a.discover:
-            out = api.discover_formatted(spark, text, options, a.output_format)
+            out = api.discover_formatted(spark, source, options, a.output_format)
         elif a.cost_preview:
-            out = api.cost_preview_formatted(spark, text, options, a.output_format)
+            out = api.cost_preview_formatted(spark, source, options, a.output_format)
         else:
-            out = api.process(spark, text, options, a.output_format, os.path.basename(file) if file else None)
+            out = api.process(spark, source, options, a.output_format, os.path.basename(file) if file else None)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -25,6 +25,8 @@ CLASSES = (
 #: How a variable of each class is shown.
 SHOWN = {"number": "<NUM>", "timestamp": "<TIME>", "date": "<DATE>", "identifier": "<ID>", "duration": "<DURATION>", "ip_address": "<IP>"}
 PUNCTUATION = "[](){},;"
+#: Lines that may hold a variable: every class has a digit or a colon, eight hex letters, or is a name of three letters.
+VARIED = r"(?U)[\d:]|[A-Fa-f]{8}|(?:^|[\x00 \t\[\](){},;])" + CLASSES[10][1].removeprefix("^").removesuffix(r"\z") + r"(?:[\x00 \t\[\](){},;]|\z)"
 
 
 def words(line: Column) -> Column:
@@ -64,14 +66,17 @@ def signature(line: Column) -> Column:
     """What lines of one template have in common, as a string: V and a class or F and a text, with NUL between.
 
     NUL can't be part of a token, so equal strings are equal token lists; a literal ``<NUM>``
-    differs from a number. A tab counts as a blank.
+    differs from a number. A tab counts as a blank. A line is rewritten as a whole, class after
+    class, so all of it stays in generated code: every token gets a NUL and an F ahead, and what is
+    of a class gets the class instead.
     """
-
-    def part(w: Column) -> Column:
-        kind = kind_of(w)
-        return F.coalesce(F.concat(F.lit("V"), shown(kind)), F.when(kind == "whitespace", "F ").otherwise(F.concat(F.lit("F"), w)))
-
-    return F.array_join(F.transform(words(line), part), MARK)
+    pieces = lambda text: F.regexp_replace(text, F.lit(PIECES), F.lit(f"{MARK}F$0"))
+    plain = lambda text: F.substr(F.translate(F.regexp_replace(text, F.lit(r"\x00(?=\x00|\z)"), F.lit("")), "\t", " "), F.lit(2))  # noqa: E731  without what parted tokens only
+    out = pieces(F.regexp_replace(line, F.lit(STAMP), F.lit(f"{MARK}$1{MARK}")))
+    for name, pattern in CLASSES:
+        flags, body = pattern.partition("^")[::2]
+        out = F.regexp_replace(out, F.lit(rf"{flags}\x00F(?:{body.removesuffix(chr(92) + 'z')})(?=\x00|\z)"), F.lit(f"{MARK}V{SHOWN[name]}"))
+    return F.when(line.rlike(VARIED), plain(out)).otherwise(plain(pieces(line)))
 
 
 def parts(sig: Column) -> Column:
@@ -80,7 +85,7 @@ def parts(sig: Column) -> Column:
 
 def pattern(sig: Column) -> Column:
     """A signature as people read it."""
-    return F.array_join(F.transform(parts(sig), lambda p: F.substr(p, F.lit(2))), "")
+    return F.regexp_replace(sig, F.lit(r"(?:^|\x00)[FV]"), F.lit(""))
 
 
 def template_name(sig: Column) -> Column:

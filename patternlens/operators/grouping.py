@@ -45,10 +45,17 @@ def patterns(entries: DataFrame) -> Summary:
     maps = lists.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("var_"), F.col("slot").cast("string")), F.col("own.value")))).alias("variable_values"))
     three = head.where(F.col("pos") <= SAMPLES).groupBy("key").agg(F.min(F.struct("pos", "content")).alias("one"), F.array_sort(F.collect_list(F.struct("pos", F.col("line_numbers")[0].alias("n")))).alias("numbers"))
     samples = three.join(maps, "key", "left").select("key", F.lit(1).alias("pos"), F.col("one.content").alias("content"), F.col("numbers.n").alias("line_numbers"), "variable_values")
-    lone = _lone(rows, groups, entries)
+    lone = _alone(rows.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("src", "idx", "content", F.col("line_numbers")[0].alias("line"))).alias("one")), entries)
     return Summary(GROUPED, "template_extraction", groups, lone, _totals(entries, "content", groups, samples, 8, lone), samples, line_ranges(rows.select("key", F.col("line_numbers")[0].alias("number"))))
 
 
+def _alone(counted: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same out of one aggregate: (key, count, one) with the first entry of each group."""
+    total = entries.agg(F.count("*").alias("total"))
+    one = counted.where("count = 1").select(F.struct("one.src", "one.idx").alias("first"), "one.content", F.coalesce("one.line", F.lit(0)).alias("line_number"))
+    return one.crossJoin(total).select("first", "content", "line_number", F.lit("rare_pattern").alias("reason"), (F.lit(1.0) / F.col("total")).alias("score"))
+
+
 def _lone(rows: DataFrame, groups: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries that are alone in their group; the groups stay groups."""
     total = entries.agg(F.count("*").alias("total"))

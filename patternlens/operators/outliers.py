@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngram_words, ngrams
+from ..tables import written
 from .result import OUTLIERS, Summary
 
 
@@ -22,16 +23,18 @@ def ngram_counts(entries: DataFrame, n: int = 2) -> DataFrame:
     return _exploded(entries, n).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
-def scores(entries: DataFrame, n: int = 2) -> DataFrame:
+def scores(entries: DataFrame, n: int = 2, counts: DataFrame | None = None) -> DataFrame:
     """(src, idx, score): the mean share that an entry's n-grams have of all n-grams.
 
     Counts are summed as whole numbers and divided once, so the order of the rows does not matter.
+    They are a written table, so both sides of the join are plain shuffles and Spark can split the
+    rows of a frequent n-gram.
     """
     each = _exploded(entries, n, "src", "idx")
-    counts = ngram_counts(entries, n)
-    total = counts.agg(F.sum("n").cast("double").alias("total"))
+    counts = written(ngram_counts(entries, n), "ngrams") if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
     own = each.join(counts, "ngram").groupBy("src", "idx").agg(F.sum("n").cast("double").alias("hits"), F.count("*").cast("double").alias("grams"))
-    return own.crossJoin(total).select("src", "idx", (F.col("hits") / F.col("total") / F.col("grams")).alias("score"))
+    return own.select("src", "idx", (F.col("hits") / F.lit(float(total)) / F.col("grams")).alias("score"))
 
 
 def _kth(scored: DataFrame, k: int, bins: int = 256) -> float:
@@ -62,7 +65,8 @@ def threshold(scored: DataFrame, explicit: float = 0.0) -> float:
 
 def outliers(entries: DataFrame, n: int = 2, explicit: float = 0.0) -> Summary:
     """Entries that score below the threshold; equal scores in order of the entries."""
-    scored = scores(entries, n).cache()
+    counts = written(ngram_counts(entries, n), "ngrams")
+    scored = written(scores(entries, n, counts), "scores")
     count = scored.count()
     limit = threshold(scored, explicit)
     median = _kth(scored, count // 2 + 1) if count else 0.0
@@ -72,5 +76,5 @@ def outliers(entries: DataFrame, n: int = 2, explicit: float = 0.0) -> Summary:
     found = entries.join(rare, ["src", "idx"]).select(F.struct("src", "idx").alias("first"), "content", F.coalesce(F.col("line_numbers")[0], F.lit(0)).alias("line_number"), F.lit("rare_ngrams").alias("reason"), "score")
     size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).cast("long")
     totals = entries.agg(F.count("*").alias("total_entries"), size("content").alias("original_size")).crossJoin(found.agg(F.count("*").alias("outliers"), size("content").alias("reduced_size")))
-    features = ngram_counts(entries, n).orderBy(F.desc("n"), "ngram").limit(10)
+    features = counts.orderBy(F.desc("n"), "ngram").limit(10)
     return Summary(OUTLIERS, "ngram_outlier_detection", None, found, totals, baseline=baseline, features=features)

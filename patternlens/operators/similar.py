@@ -7,11 +7,10 @@ them among themselves, and then lets all other items join the new leaders in par
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .result import GROUPED, Summary, line_ranges
 
 #: Items that a round settles on the driver; a bound on what it holds and on the leaders of a round.
@@ -50,15 +49,6 @@ def leaders(items: list[tuple[int, str]], limit: float) -> tuple[list[tuple[int,
     return found, of
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder, or in the warehouse if none is named."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{top.rstrip('/')}/patternlens/similar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def assign(items: DataFrame, limit: float, size: int = ROUND) -> DataFrame:
     """(item, leader) for (item, content), where ``item`` numbers contents in order of first entry."""
     spark = items.sparkSession
@@ -74,7 +64,7 @@ def assign(items: DataFrame, limit: float, size: int = ROUND) -> DataFrame:
         longest = F.greatest(F.char_length("content"), F.char_length("lead"))
         near = F.abs(F.char_length("content") - F.char_length("lead")) <= F.lit(float(limit)) * longest + F.lit(1e-9)
         close = F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein("content", "lead").cast("double") / longest) <= F.lit(float(limit))
-        joined = _written(rest.join(lead, near & close, "left").groupBy("item", "content").agg(F.min("leader").alias("leader"))) if len(block) == size else None
+        joined = written(rest.join(lead, near & close, "left").groupBy("item", "content").agg(F.min("leader").alias("leader")), "similar") if len(block) == size else None
         if joined is not None:
             own = own.unionByName(joined.where("leader is not null").select("item", "leader"))
         settled = own if settled is None else settled.unionByName(own)
@@ -87,9 +77,8 @@ def assign(items: DataFrame, limit: float, size: int = ROUND) -> DataFrame:
 def similar(entries: DataFrame, limit: float, size: int = ROUND) -> Summary:
     """Clusters of entries within ``limit`` of their leader, as a share of the longer text's characters."""
     distinct = entries.groupBy("content").agg(F.min(F.struct("src", "idx")).alias("first"))
-    ordered = distinct.orderBy("first").select("content", "first")
-    items = _written(ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["content"])).toDF("item long, content string"))
-    of = _written(assign(items, limit, size))
+    items = written(distinct.orderBy("first").select(F.monotonically_increasing_id().alias("item"), "content"), "similar")  # rising in that order
+    of = written(assign(items, limit, size), "similar")
     rows = entries.join(items, "content").join(of, "item").select("src", "idx", "content", "first_line", "line_numbers", F.col("leader").alias("key"))
     lead = items.select(F.col("item").alias("key"), F.col("content").alias("lead"))
     groups = rows.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("src", "idx")).alias("first")).join(lead, "key")

@@ -205,8 +205,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY score) AS r, count(*) OVER () A
 @query(f"""WITH {_SCORES}, line AS (SELECT score * 1.0001::DOUBLE AS t FROM placed WHERE r = greatest(1, ceil(least(greatest(0.05::DOUBLE * total, 1.0::DOUBLE), 0.2::DOUBLE * total))))
 SELECT src, line_no::BIGINT AS line_number, round(score, 12) AS score FROM placed, line WHERE score < t""")
 def q17_ngram_outliers(spark, sf_dir):
-    scored = rare.scores(doc_lines(spark, sf_dir), 2).cache()
-    return scored.where(F.col("score") < rare.threshold(scored)).select("src", (F.col("idx") + 1).alias("line_number"), F.round("score", 12).alias("score"))
+    return rare.outliers(doc_lines(spark, sf_dir)).outliers.select("first.src", "line_number", F.round("score", 12).alias("score"))
 
 
 @query(f"""WITH {_SCORES} SELECT round(min(score), 12) AS low, round(max(score), 12) AS high, round(avg(score), 12) AS mean, round(max(score) FILTER (r = total // 2 + 1), 12) AS median FROM placed""")
@@ -217,7 +216,7 @@ def q18_score_stats(spark, sf_dir):
 
 @query(f"WITH {_LINES}, {_ngrams_sql(2)} SELECT ngram, count(*) AS n FROM grams GROUP BY ngram ORDER BY n DESC, ngram LIMIT 10")
 def q18_top_ngrams(spark, sf_dir):
-    return rare.ngram_counts(doc_lines(spark, sf_dir), 2).orderBy(F.desc("n"), "ngram").limit(10)
+    return rare.outliers(doc_lines(spark, sf_dir)).features.select("ngram", "n")
 
 
 @query(rf"""WITH {_LOG}, {_WORDS}, {_SLOTS}, each AS (SELECT line_no, generate_subscripts(s, 1) - 1 AS slot, unnest(s) AS t FROM slots),

@@ -63,7 +63,7 @@ def transformed(entries: DataFrame, stages: tuple[Stage, ...]) -> DataFrame:
     """Entries with path, del and where stages applied, all in one pass.
 
     An entry that gives several keeps its place: their ``idx`` are those of the entry with a
-    place in it, dense only if every entry gives one at most.
+    place in it, dense only if every entry gives one at most; over 2^24 values of one entry are an error.
     """
     if not stages:
         return entries
@@ -73,9 +73,12 @@ def transformed(entries: DataFrame, stages: tuple[Stage, ...]) -> DataFrame:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for s, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, v in enumerate(_apply([jsontext.loads(text)], stages)):
+                values = _apply([jsontext.loads(text)], stages)
+                if len(values) > 1 << 24:
+                    raise ValueError(f"entry {i} gives {len(values)} values")
+                for k, v in enumerate(values):
                     out[0].append(s)
-                    out[1].append((i << 20) + k if many else i)
+                    out[1].append((i << 24) + k if many else i)
                     out[2].append(jsontext.dumps(v))
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["src", "idx", "j"])
 

@@ -6,6 +6,8 @@ entries, and the only one.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,41 @@ from ..functions.text import is_continuation
 #: Fixed value: how a line with a time stamp at its start looks.
 STAMPED = r"(?U)^[\[\(]?\d{4}[-/]\d{2}[-/]\d{2}[T\s]\d{2}:\d{2}:\d{2}"
 
+#: Lines that are numbered together.
+SEGMENT = 65_536
+
+
+@dataclass(frozen=True)
+class Files:
+    """Files or folders that Spark can read, as a source."""
+
+    paths: tuple[str, ...]
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """(path, src): the files in order of their paths; a row a file, so one task can hold them."""
+    return found.select("path").distinct().withColumn("src", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(src, raw) of whole files, numbered in order of their paths."""
-    found = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
-    return found.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("src"), "raw")
+    """(src, raw) of whole files, as a JSON document needs them; numbered in order of their paths."""
+    found = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return found.join(_numbered(found), "path").select("src", "raw")
+
+
+def file_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(src, line_no, line) of files that are read in splits, as long as they may be.
+
+    Lines are numbered within each split, and each split starts after the lines of those before it
+    in its file, so no task needs more than a split.
+    """
+    split = ["path", "start"]
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("at"))
+    read = spark.read.option("lineSep", "\n").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    sizes = read.groupBy(*split).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("before", before).join(_numbered(sizes), "path").select(*split, "before", "src")
+    return read.withColumn("place", place).join(starts, split).select("src", (F.col("before") + F.col("place")).cast("long").alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
 
 
 def from_text(spark: SparkSession, text: str) -> DataFrame:
@@ -35,24 +67,35 @@ def _lines(docs: DataFrame, src: str, raw: str) -> DataFrame:
 
 def lines(docs: DataFrame, src: str = "src", raw: str = "raw") -> DataFrame:
     """Every line is an entry."""
-    return _as_entries(_lines(docs, src, raw))
+    return line_entries(_lines(docs, src, raw))
 
 
-def _as_entries(found: DataFrame) -> DataFrame:
+def line_entries(found: DataFrame) -> DataFrame:
+    """Entries of (src, line_no, line)."""
     return found.select("src", (F.col("line_no") - 1).alias("idx"), F.col("line").alias("content"), F.col("line").alias("first_line"), F.array("line_no").alias("line_numbers"))
 
 
 def blocks(docs: DataFrame, entry_pattern: str | None = None, src: str = "src", raw: str = "raw") -> DataFrame:
-    """Entries of several lines, one begun by each line that matches the pattern or starts with a time stamp.
+    """Entries of several lines; see :func:`block_entries`."""
+    return block_entries(_lines(docs, src, raw), entry_pattern)
+
+
+def block_entries(found: DataFrame, entry_pattern: str | None = None) -> DataFrame:
+    """Entries of several lines of (src, line_no, line), one begun by each line that matches the pattern or starts with a time stamp.
 
     Lines before the first such line are an entry. A document that would be a single entry, or
-    that has no time stamp, is split into lines.
+    that has no time stamp, is split into lines. Lines are numbered by block within segments of
+    SEGMENT lines, each of which starts after the blocks of those before it.
     """
-    found = _lines(docs, src, raw)
-    per_doc = Window.partitionBy("src")
     starts = F.col("line").rlike(entry_pattern if entry_pattern is not None else STAMPED)
-    marked = found.withColumn("starts", starts).withColumn("block", F.sum(F.col("starts").cast("long")).over(per_doc.orderBy("line_no")))
-    marked = marked.withColumn("low", F.min("block").over(per_doc)).withColumn("high", F.max("block").over(per_doc))
+    marked = found.withColumn("starts", F.coalesce(starts, F.lit(False)).cast("long")).withColumn("segment", F.floor((F.col("line_no") - 1) / SEGMENT))
+    sums = marked.groupBy("src", "segment").agg(F.sum("starts").alias("n"), F.min(F.struct("line_no", "starts")).alias("head"))
+    whole = Window.partitionBy("src")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # of each document: the number of its first block, 0 or 1, and of its last
+    sums = sums.withColumn("before", before).withColumn("low", F.min("head").over(whole)["starts"]).withColumn("high", F.sum("n").over(whole)).select("src", "segment", "before", "low", "high")
+    inner = F.sum("starts").over(Window.partitionBy("src", "segment").orderBy("line_no"))
+    marked = marked.withColumn("inner", inner).join(sums, ["src", "segment"]).withColumn("block", F.col("before") + F.col("inner"))
     single = (F.col("low") == F.col("high")) if entry_pattern is not None else (F.col("high") == 0)
     marked = marked.withColumn("block", F.when(single, F.col("line_no")).otherwise(F.col("block")))
     marked = marked.withColumn("low", F.when(single, F.lit(1)).otherwise(F.col("low")))
