@@ -19,6 +19,9 @@ ITEMS = {GROUPED: "groups", SCHEMAS: "schemas", PATHS: "patterns"}
 #: shape: (lines of a group, extra lines before outliers, lines of an outlier)
 COSTS = {GROUPED: (GROUP, 1, OUTLIER), SCHEMAS: (SCHEMA, 1, OUTLIER), PATHS: (PATTERN, 2, SINGLETON)}
 
+#: Groups and outliers that a report without a budget may have.
+MOST = 1_000_000
+
 
 def capacity(budget: int, used: int, cost: int) -> int:
     return max(0, budget - used) // cost
@@ -64,9 +67,16 @@ class Summary:
     def ordered_groups(self) -> DataFrame:
         return self.groups.orderBy(F.desc("count"), *self.extra.get("order", ("first",)))
 
-    def collect(self) -> dict:
-        """The analysis as plain data; the driver holds the groups and outliers that budget and top leave."""
+    def collect(self, most: int = MOST) -> dict:
+        """The analysis as plain data; the driver holds the groups and outliers that budget and top leave.
+
+        More than ``most`` of them are an error: a budget or top makes a report shorter, and the
+        relations themselves have any number.
+        """
         t = self.totals.first().asDict()
+        groups = 0 if self.shape == OUTLIERS else t["unique_patterns"] if self.limit is None else min(self.limit, t["unique_patterns"])
+        if self.budget is None and groups + t["outliers"] > most:
+            raise ValueError(f"{groups} groups and {t['outliers']} outliers are more than a report of {most}: set a budget, or use the relations")
         applied: bool | None = None
         if self.shape == OUTLIERS:
             return self._collect_outliers(t)

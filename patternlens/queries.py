@@ -12,10 +12,12 @@ from .functions import tokens as T
 from .operators import grouping, profile, schemas, similar, typed
 from .operators import outliers as rare
 from .operators.result import FIXED, GROUP, SECTION, capacity, line_ranges
-from .plans.expr import ALL, Where
+from .plans.expr import ALL, Del, PathSelect, Where
+from .plans.options import Options
 from .sources import json as json_source
 from .sources import text as text_source
 from .streaming import templates
+from .tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -298,6 +300,73 @@ def q28_cost_buckets(spark, sf_dir):
     return profile.cost_buckets(_by_type(spark, sf_dir)).select("path", "chars")
 
 
+def _items(spark, out: dict, kind: str, schema: str):
+    """Items of a report as rows of the named fields; a report has as many as its budget or top leaves."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(x[n] for n in names) for x in out["results"][kind]], schema)
+
+
+@query("""SELECT 'group_' || (row_number() OVER (ORDER BY count(*) DESC, coalesce(event_type, 'null')) - 1) AS id, coalesce(event_type, 'null') AS name, count(*) AS "count" FROM events GROUP BY coalesce(event_type, 'null') ORDER BY "count" DESC, name LIMIT 2""")
+def q31_top_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return _items(spark, api.summarize_table(e, "group_by(.event_type) | top(2)", "event_id").collect(), "groups", "id string, name string, count long")
+
+
+@query("""SELECT 'schema_0' AS id, min(event_type) AS name, count(*) AS "count" FROM events""")
+def q32_label_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return _items(spark, api.summarize_table(e, "schemas | label(.event_type)", "event_id").collect(), "schemas", "id string, name string, count long")
+
+
+@query(rf"""WITH {_LOG}, {_WORDS}, g AS (SELECT {_PATTERN} AS pattern, count(*) AS n, min(line_no) AS first FROM signed GROUP BY sig), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) - 1 AS k FROM g)
+SELECT 'group_' || k AS id, pattern, n AS "count", (SELECT count(*) > 3 FROM g) AS applied FROM r WHERE k < (60 - 6) // 15""")
+def q33_budget_report(spark, sf_dir):
+    out = grouping.patterns(log(spark, sf_dir)).with_budget(60).collect()
+    return _items(spark, out, "groups", "id string, pattern string, count long").withColumn("applied", F.lit(bool(out["metadata"]["budget_applied"])))
+
+
+@query("""SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS j FROM events WHERE event_type = 'error'""")
+def q34_json_del(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    stages = (Where(("event_type",), "==", "error"), Del((("value",), ("event_id",), ("no", "where"))))
+    return json_source.transformed(json_source.rows(e, "event_id"), stages).select(F.col("idx").alias("event_id"), "j")
+
+
+@query("""SELECT '{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey || '}' AS j, 'all' AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT '{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey || '}', 'second' FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS r
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE r = 2""")
+def q35_json_path(spark, sf_dir):
+    entries = json_source.rows(nested_orders(spark, sf_dir), "o_orderkey")
+    of = lambda kind, *path: json_source.transformed(entries, (PathSelect(path),)).select("j", F.lit(kind).alias("kind"))
+    return of("all", "items", ALL).unionByName(of("second", "items", 1))
+
+
+@query(rf"""WITH {_LOG}, {_WORDS}, ranked AS (SELECT *, {_PATTERN} AS pattern, row_number() OVER (PARTITION BY sig ORDER BY src, line_no) AS r, count(*) OVER (PARTITION BY sig) AS n FROM signed),
+v AS (SELECT 'var_' || (generate_subscripts(v, 1) - 1) AS path, unnest(v) AS t FROM (SELECT list_transform(list_filter(ws, lambda t: t.k IN ('number','timestamp','date','identifier','duration','ip_address')), lambda t: t.w) AS v FROM ranked WHERE r <= 5))
+SELECT 'pattern' AS path, sum(strlen(pattern))::BIGINT AS chars FROM ranked WHERE r = 1 UNION ALL SELECT 'content', sum(strlen(line))::BIGINT FROM ranked WHERE r = 1
+UNION ALL SELECT path, sum(strlen(t))::BIGINT FROM v GROUP BY path UNION ALL SELECT '(outliers)', sum(strlen(line))::BIGINT FROM ranked WHERE n = 1 HAVING count(*) > 0""")
+def q36_cost_text(spark, sf_dir):
+    return profile.cost_buckets(grouping.patterns(log(spark, sf_dir))).select("path", "chars")
+
+
+@query("""SELECT path, chars FROM (SELECT 'event_id' AS path, (SELECT sum(strlen(x)) FROM (SELECT DISTINCT event_id::VARCHAR AS x FROM events ORDER BY x LIMIT 5))::BIGINT AS chars
+UNION ALL SELECT 'event_type', (SELECT sum(strlen(x)) FROM (SELECT DISTINCT event_type AS x FROM events ORDER BY x LIMIT 5))::BIGINT)""")
+def q37_cost_schemas(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return profile.cost_buckets(api.summarize_table(e, "schemas", "event_id")).select("path", "chars")
+
+
+@query(f"""WITH {_LOG} SELECT line_no - 1 AS event_id, line AS content, 1 AS ahead FROM lines""")
+def q38_file_lines(spark, sf_dir):
+    """The log as a folder of text files, read again in splits: each line has its number in its file."""
+    folder = shared_folder(spark, "log")
+    log(spark, sf_dir).repartitionByRange(4, "idx").sortWithinPartitions("idx").select("content").write.text(folder)
+    entries = api.text_entries(spark, text_source.Files((folder,)), Options("line"))
+    number = F.regexp_extract("content", r"event (\d+)$", 1).cast("long")
+    first = entries.groupBy("src").agg(F.min(number).alias("least"))
+    return entries.join(first, "src").select(number.alias("event_id"), "content", (F.col("line_numbers")[0] - (number - F.col("least"))).cast("int").alias("ahead"))
+
+
 @query(rf"""WITH lines AS (SELECT date_trunc('hour', ts) AS h, upper(event_type) || ' user ' || user_id AS line FROM events), {_WORDS} SELECT h AS "start", h + INTERVAL 1 HOUR AS "end", {_PATTERN} AS pattern, count(*) AS n FROM signed GROUP BY h, sig""")
 def q29_windowed_templates(spark, sf_dir):
     e = table(spark, sf_dir, "events")
