@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 # Element names by the part they play in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title template noscript select option button textarea svg canvas object iframe audio video map math datalist".split())
@@ -300,19 +302,35 @@ def generated(count: int, seed: int = 5) -> Iterator[tuple[str, set[str]]]:
                 [30, 8, 8, 4, 3, 2, 1, 2, 4])[0]())
         if rng.random() < 0.15:
             parts.append(boiler("comments"))
+        if rng.random() < 0.12:
+            parts.append(rng.choice([lambda: f"<pre>{block(1, 12)}</pre>", lambda: f"<figure><img src=x><figcaption>{block(1, 8)}</figcaption></figure>", lambda: f"<ol><li>{block(4, 40)}</li><li>{block(4, 40)}</li></ol>"])())
+        if parts and parts[0].startswith("<h") and rng.random() < 0.15:
+            parts[0] = f"<header>{parts[0]}</header>"
         inner = "".join(parts)
+        anchors = lambda: " ".join(f'<a href="/{i}">{words(0, 2)}</a>' for i in range(rng.randint(2, 7)))
+        if (odd := rng.random()) < 0.07:  # a layout by tables
+            row = lambda cells: f"<tr>{''.join(f'<td>{c}</td>' for c in cells)}</tr>"
+            page = f"<table>{row([anchors()])}{row(rng.sample([f'<ul>{links()}</ul>', inner], 2))}{row(['&copy; ' + words(2, 14)])}</table>"
+        elif odd < 0.14:  # boxes without names
+            plain = inner.replace("<p>", "<div>").replace("</p>", "</div>") if rng.random() < 0.7 else inner
+            box = lambda text: f'<div{rng.choice(["", f""" id="b{rng.randint(1, 9)}\""""])}>{text}</div>'
+            page = box("".join(f"<span>{a}</span>" for a in anchors().split(" <")) if rng.random() < 0.3 else anchors()) + box(plain) + "".join(box(x) for x in (f"<h3>{words(1, 3)}</h3>" + anchors(), f"<ul>{links()}</ul>") if rng.random() < 0.5) + box(anchors())
+        elif odd < 0.2:  # boxes by role
+            page = f'<div role="banner">{anchors()}</div><div role="navigation">{anchors()}</div><div role="main">{inner}</div><div role="complementary"><h3>{words(1, 3)}</h3>{anchors()}</div><div role="contentinfo">{words(2, 12)}</div>'
+        else:
+            page = ""
         body = rng.choice([f"<article>{inner}</article>"] * 3 + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<div{attr('content', 'post', 'entry', 'article-body', 'main')}>{inner}</div>", f"<div{attr('wrapper', 'page', 'container')}><article>{inner}</article></div>"])
         top = [boiler(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.5]
         low = [boiler(k) for k in ("ad", "side", "share", "comments", "footer", "nav") if rng.random() < 0.45]
         rng.shuffle(top)
-        page = "".join(top) + body + "".join(low)
+        page = page or "".join(top) + body + "".join(low)
         if rng.random() < 0.25:
             page = f"<div{attr('wrapper', 'page', 'container')}>{page}</div>"
         page = f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title><style>p{{}}</style></head><body>{page}</body></html>"
         yield (page[: rng.randint(len(page) * 3 // 4, len(page))] if rng.random() < 0.08 else page), main
 
 
-def train(pages: int = 500, seed: int = 5) -> Trees:
+def train(pages: int = 700, seed: int = 5) -> Trees:
     """Trees learned from generated pages; a node is positive if main text stands in it."""
     xs, ys = [], []
     for page, main in generated(pages, seed):
@@ -385,6 +403,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] =
     Pages are whole, however long. Only the named columns are read.
     """
     trees = trees or train()
+    ship(pages.sparkSession)
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:

@@ -7,6 +7,7 @@ import pytest
 from patternlens.llm import embedding_dedup, graph, html_extract, topk
 
 from . import brute
+from .layouts import PAGES
 
 VECS = "vec_id long, embedding array<float>, label int, id string, cls string, vec string"
 
@@ -227,3 +228,53 @@ def test_share_of_rows_that_a_search_multiplies(spark, kind, most):
     share = seen.value / (n * (n // 100))
     print(f"{kind}: {share:.3f} of all pairs")
     assert share <= most
+
+
+def test_layouts_written_by_hand():
+    """Pages of other shapes than the training pages; the whole text must be right."""
+    trees = html_extract.train()
+    right = {name: html_extract.extract_all([page], trees)[0].split("\n") == want for name, (page, want) in PAGES.items()}
+    print(f"{sum(right.values())} of {len(right)} layouts right", right)
+    assert all(right.values())
+
+
+def test_decoding_finds_the_likeliest_choice():
+    """Against every choice in which nothing stands in what is left out."""
+    import itertools
+
+    nodes, _ = html_extract.parse("<div><p>a</p><section><p>b</p><p>c</p></section></div><p>d</p>")
+    inner, rng = nodes[1:], random.Random(4)
+    for _ in range(60):
+        score = {id(x): rng.uniform(-3, 3) for x in inner}
+        best = -math.inf
+        for kept in itertools.product([True, False], repeat=len(inner)):
+            of = {id(x): k for x, k in zip(inner, kept, strict=True)}
+            if all(of[id(x)] <= of.get(id(x.parent), True) for x in inner):
+                best = max(best, sum(-math.log1p(math.exp(-score[i] if k else score[i])) for i, k in of.items()))
+        left = html_extract.decode(nodes, score)
+        assert abs(sum(-math.log1p(math.exp(score[id(x)] if id(x) in left else -score[id(x)])) for x in inner) - best) < 1e-9
+
+
+def test_operators_from_another_folder(tmp_path):
+    """A plain DataFrame, a driver that alone knows where the package lies, another working folder."""
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    (tmp_path / "run.py").write_text(f"""
+import sys
+sys.path.insert(0, {top!r})
+from pyspark.sql import SparkSession
+from patternlens.llm import html_extract, ngram_join, suffix_dedup, embedding_dedup, topk, common
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x " * 300)], "doc_id long, text string")
+print("N", ngram_join.representatives(docs).count(), suffix_dedup.deduplicated(docs).count(), html_extract.extract(spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string")).count())
+vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>")
+print("V", embedding_dedup.near_duplicates(vecs).count(), topk.search(vecs).count())
+common.clear(spark)
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert "N 2 3 1" in done.stdout and "V 5 4" in done.stdout, done.stdout + done.stderr[-3000:]
+    assert not list((tmp_path / "shared").rglob("*.parquet"))
