@@ -48,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: computed once, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/patternlens/{name}-{uuid.uuid4().hex}"
+    ship(spark)
+    path = f"{shared_dir(spark)}/patternlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,6 +63,13 @@ def unstash(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has written to the shared folder; frames that read them are of no use then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patternlens/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of plans that nothing refers to any more.
 
@@ -77,6 +85,7 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> I
 
     For jobs that run inside it, not for frames it returns: Spark reads the settings as it plans.
     """
+    ship(spark)
     keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(min(rows, 4096))}
     before = {k: spark.conf.get(k, None) for k in keys}
     try:

@@ -137,7 +137,7 @@ class Shard:
 def _folder(spark: SparkSession) -> str:
     """A new folder among the shared ones, as a URI."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patternlens/token-shards-{uuid.uuid4().hex}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patternlens/{spark.sparkContext.applicationId}/token-shards-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     uri = fs.makeQualified(path).toString()
