@@ -13,9 +13,9 @@ buckets of one string leave.
 An anchor with very many different surroundings, as a passage has that stands in every third
 document, is refined without bringing these together: windows are taken in blocks of
 neighbouring starts. A row leaves a block if the string common to the block's windows stands in
-no other row; the whole block is repeated if the string around all of them does; where a bucket
-holds rows of which neither is known, it is split into finer blocks, down to single windows.
-Strings are counted with map-side combination.
+no other row; the whole block is repeated if the string around all of them does; rows of which
+neither is known go on in finer blocks, down to single windows, against each other and one of each
+kind of settled rows of their bucket. Strings are counted with map-side combination.
 
 Every window has an anchor and every pair of equal windows meets in its bucket, so nothing is
 missed; the comparison is of whole elements, so nothing is found that is not there.
@@ -355,14 +355,17 @@ def _crowded(rows: DataFrame, unit: Unit) -> DataFrame:
         inner, outer = (stash(each.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").select(c), "crowd-repeats") for c in ("inner", "outer"))
         found = each.join(inner, "inner", "left_semi")
         found = found.join(outer.withColumn("whole", F.lit(True)), "outer", "left") if step > 1 else found.withColumn("whole", F.lit(True))
-        found = stash(found.select("hash", "around", "at", "inner", F.coalesce("whole", F.lit(False)).alias("whole")), "crowd-blocks")
+        found = stash(found.select("hash", "around", "at", "inner", "outer", F.coalesce("whole", F.lit(False)).alias("whole")), "crowd-blocks")
         unstash(each)
         end = F.least(F.col("at") + (step - 1), F.lit(unit.before))
         done.append(found.where("whole").select("hash", "around", F.array(F.struct((-end).cast("int").alias("lo"), (unit.window - F.col("at")).cast("int").alias("hi"))).alias("spans")))
-        if step > 1:  # rows whose whole block is repeated stay where others of their bucket are not settled
-            unsettled = stash(found.groupBy("inner").agg(F.bool_and("whole").alias("all")).where("not all").select("inner"), "crowd-unsettled")
-            open_ = found.join(unsettled, "inner", "left_semi").groupBy("hash", "around").agg(F.collect_list(F.struct("at", F.lit(step).alias("step"))).alias("blocks"))
-            todo = rows.join(open_, ["hash", "around"])
+        if step > 1:
+            # what is settled has partners among rows alike around the whole block; one of these stays for the others' sake
+            open_ = found.where("not whole").select("hash", "around", "at", "inner")
+            buckets = stash(open_.select("inner").distinct(), "crowd-open")
+            alike = found.where("whole").groupBy("outer").agg(F.min(F.struct("hash", "around", "at", "inner")).alias("one")).select("one.*")
+            rest = open_.unionByName(alike.join(buckets, "inner", "left_semi"))
+            todo = rows.join(rest.groupBy("hash", "around").agg(F.collect_list(F.struct("at", F.lit(step).alias("step"))).alias("blocks")), ["hash", "around"])
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
