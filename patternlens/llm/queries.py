@@ -46,7 +46,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_backend.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+    return sentencepiece_backend.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

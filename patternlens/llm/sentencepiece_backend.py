@@ -2,11 +2,14 @@
 
 The model's protobuf is read here; normaliser, metaspace marker, scores or merges, and byte
 fallback are rebuilt from it. A worker checks its backend against the sentencepiece library on
-fixed texts before it encodes anything.
+fixed texts before it encodes anything, and on a share of the corpus while it encodes.
+Pieces are turned back into bytes here, not by the library's byte fallback: that gives up a
+whole run of bytes where one of them is wrong, sentencepiece that byte alone.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import os
 import struct
@@ -28,6 +31,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PROBES = ("", " ", "Hello world", "  two  spaces   three\n\ttab", "café 日本語 \U0001f600", "a" * 50, "<s> </s> <unk> <0x41>", "x▁y", "1234567890 3.14", "    " * 9 + "end ")
+#: One in so many texts, by a hash of its bytes, is encoded by the sentencepiece library as well.
+CHECKED = 1_000
+
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -92,9 +99,9 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, models, normalizers
 
-        self.path, self.model = path, Model.read(path)
+        self.path, self.model, self.peer = path, Model.read(path), None
         pieces = self.model.pieces
         self.normal = {p: (s, i) for i, (p, s, k) in enumerate(pieces) if k in (NORMAL, UNUSED)}
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
@@ -112,10 +119,11 @@ class PieceEncoder:
         if self.model.squeeze:
             steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
         self.normalise = normalizers.Sequence(steps) if steps else None
-        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in self.normal)
         self.dtype = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
         self.raw = [b"" if k == CONTROL else bytes([int(p[1:-1], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in pieces]
+        self.silent = np.array([k == CONTROL for _, _, k in pieces])
+        self.marked = np.array([k not in (CONTROL, BYTE, UNKNOWN) and p.startswith(SPACE) for p, _, k in pieces])
         self.cache = ChunkCache(self._encode, self.dtype, 500_000)
         self.verify(PROBES)
 
@@ -193,27 +201,35 @@ class PieceEncoder:
         return self.encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.raw[i] for i in ids.tolist()]).decode(errors="replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        """The text of ids. A control piece is nothing but ends a run of bytes; a first space goes only with a piece's own marker."""
+        said = ids[~self.silent[ids]]
+        runs = np.split(ids, np.flatnonzero(self.silent[ids])) if len(said) < len(ids) else [ids]
+        text = "".join([b"".join([self.raw[i] for i in run.tolist()]).decode(errors="each_byte") for run in runs])
+        return text[1:] if self.model.dummy_prefix and len(said) and self.marked[said[0]] else text
 
     def verify(self, texts) -> None:
         """Raises unless ids and decoded texts equal the sentencepiece library's."""
-        import sentencepiece
-
-        own = sentencepiece.SentencePieceProcessor(model_file=self.path)
         for text, ids in zip(texts, self.encode_texts(list(texts)), strict=True):
-            want = own.encode(text)
-            if ids.tolist() != want or self.decode(ids) != own.decode(want):
-                raise ValueError(f"the tokenizers backend differs from sentencepiece on {text!r}")
+            self.compare(text, ids)
+
+    def compare(self, text: str, ids: np.ndarray) -> None:
+        if self.peer is None:
+            import sentencepiece
 
+            self.peer = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        want = self.peer.encode(text)
+        if ids.tolist() != want or self.decode(ids) != self.peer.decode(want):
+            raise ValueError(f"the tokenizers backend differs from sentencepiece on {text[:200]!r}")
 
-def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+
+def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, checked: int = CHECKED) -> DataFrame:
     """The ``keep`` columns, n_tokens, ids_crc32, round_trip and, if asked for, ids of every row.
 
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers; ``round_trip`` says
     whether decoding gives the text back. Null counts as the empty text, which has no ids. Ties
     and repeated rows are rows of their own; an empty table gives none. A long text is encoded
     whole. Only the named columns are read; a kept column with the name of a result has ``kept_`` before it.
+    One in ``checked`` texts (0: none) is compared with the sentencepiece library; a difference is an error.
     """
     ship(docs.sparkSession)
     results = ("n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids)
@@ -225,6 +241,11 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
             offsets, data = utf8(batch.column(0))
             for lo, hi in slices(offsets, 1 << 20):
                 found = pieces.encode(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
+                if checked:
+                    for i, x in enumerate(found, lo):
+                        raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                        if zlib.crc32(raw) % checked == 0:
+                            pieces.compare(raw.decode(), x)
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
                 same = [pieces.decode(x).encode() == data[offsets[i] : offsets[i + 1]].tobytes() for i, x in enumerate(found, lo)]
                 columns = [*(batch.column(k).slice(lo, hi - lo) for k in range(1, batch.num_columns)), pa.array([len(x) for x in found], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
@@ -234,3 +255,28 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
 
     kept = ", ".join(f"`{name}` {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, keep, strict=True))
     return docs.select(F.col(text_col), *keep).mapInArrow(encode, f"{kept}, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+
+
+def decode_documents(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """All columns of ``rows`` but ``ids_col``, and the text of its ids under ``text_col``.
+
+    Null ids are the empty text, a null among them counts as the unknown piece, an id outside the
+    model is an error. Bytes that are no UTF-8 come as U+FFFD each. An existing ``text_col`` is
+    replaced; an empty table gives none; repeated rows stay rows of their own.
+    """
+    ship(rows.sparkSession)
+    keep = [c for c in rows.columns if c not in (ids_col, text_col)]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = encoder(model_path, PieceEncoder)
+        for batch in batches:
+            texts = []
+            for ids in batch.column(0):
+                own = np.array([pieces.model.unk if i is None else i for i in ids.as_py() or []], np.int64)
+                if len(own) and not 0 <= own.min() <= own.max() < len(pieces.raw):
+                    raise ValueError("an id outside the model")
+                texts.append(pieces.decode(own))
+            yield pa.record_batch([*batch.columns[1:], pa.array(texts, pa.string())], names=[*keep, text_col])
+
+    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.select(F.col(f"`{ids_col}`"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(decode, f"{kept}`{text_col}` string")

@@ -252,6 +252,15 @@ def test_sentencepiece_parity(spark):
     assert got[1].ids == sp.encode("some  text\n") and got[2].n_tokens == 0 and all(r.round_trip for r in got.values()) and len(got) == 4
     assert got[3].ids_crc32 == zlib.crc32(np.array(sp.encode("x" * 3000), "<u4").tobytes())
     assert sentencepiece_backend.encode_documents(frame(spark, []), path).count() == 0
+    whole = sentencepiece_backend.encode_documents(frame(spark, [(k, t) for k, t in enumerate(texts)]), path, keep=("doc_id", "text"), checked=1)
+    back = sentencepiece_backend.decode_documents(whole.withColumnRenamed("text", "was"), path).collect()
+    assert len(back) == len(texts) and all(r.text == sp.decode(sp.encode(r.was)) for r in back)
+    drawn = [[rng.randrange(sp.vocab_size() if k % 2 else 300) for _ in range(rng.randint(0, 12))] for k in range(2000)]
+    assert [own.decode(np.array(x, np.int64)) for x in drawn] == sp.decode(drawn)
+    odd = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (3, [None], "x")], "n_tokens int, ids array<int>, text string")
+    got = {r.n_tokens: r.text for r in sentencepiece_backend.decode_documents(odd, path).collect()}
+    assert got[1] == got[2] == "" and "\u2047" in got[3]
+    assert sentencepiece_backend.decode_documents(odd.limit(0), path).count() == 0
 
 
 def classified(n=400, seed=4):
