@@ -1,77 +1,71 @@
 """Edit-distance clustering: each entry joins the earliest leader within reach, or leads.
 
 The definition is sequential; this gives its result in rounds. Entries with one content are one
-item. A round takes the next items in order, no earlier leader being near any of them, settles
-them among themselves, and then lets all other items join the new leaders in parallel.
+item. A round takes the next items in order, no earlier leader being near any of them, compares
+them with one another on the executors, settles them by the pairs found near, and then lets all
+other items join the new leaders in parallel. Texts never come to the driver; numbers of items do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import shared_folder, written
 from .result import GROUPED, Summary, line_ranges
 
-#: Items that a round settles on the driver; a bound on what it holds and on the leaders of a round.
-ROUND = 512
-
+#: Items and bytes of text that a round settles: a bound on what is broadcast and on the driver's
+#: lists of near items. A single longer text is a round of its own.
+ROUND, ROUND_BYTES = 512, 32 << 20
 
-def levenshtein(a: str, b: str) -> int:
-    """By code points."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
 
+def within(a: str, b: str, limit: float) -> Column:
+    """Whether the distance of two columns is at most ``limit`` of the longer one's code points; it stops counting beyond."""
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+    lengths = F.abs(F.char_length(a) - F.char_length(b)) <= F.lit(float(limit)) * longest + F.lit(1e-9)
+    reach = f"cast(floor({float(limit)!r}D * greatest(char_length({a}), char_length({b}))) as int) + 1"
+    steps = F.expr(f"levenshtein({a}, {b}, {reach})")
+    return lengths & ((longest == 0) | ((steps >= 0) & (steps.cast("double") / longest <= F.lit(float(limit)))))
 
-def distance(a: str, b: str) -> float:
-    longest = max(len(a), len(b))
-    return levenshtein(a, b) / longest if longest else 0.0
 
-
-def leaders(items: list[tuple[int, str]], limit: float) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """(leaders, item to leader) of the sequential definition over few items."""
-    found: list[tuple[int, str]] = []
+def leaders(order: list[int], near: dict[int, list[int]]) -> dict[int, int]:
+    """Item to leader, out of the earlier items near each: the first of these that leads, or else the item."""
     of: dict[int, int] = {}
-    for key, text in items:
-        for lead, other in found:
-            if abs(len(text) - len(other)) <= limit * max(len(text), len(other)) + 1e-9 and distance(other, text) <= limit:
-                of[key] = lead
-                break
-        else:
-            found.append((key, text))
-            of[key] = key
-    return found, of
+    for item in order:
+        of[item] = next((x for x in near.get(item, ()) if of[x] == x), item)
+    return of
 
 
 def assign(items: DataFrame, limit: float, size: int = ROUND) -> DataFrame:
-    """(item, leader) for (item, content), where ``item`` numbers contents in order of first entry."""
+    """(item, leader) for (item, content), where ``item`` numbers contents in order of first entry.
+
+    Settled items of all rounds are appended to one written table, so the plan does not grow.
+    """
     spark = items.sparkSession
-    left, settled = items, None
+    schema, settled = "item long, leader long", shared_folder(items.sparkSession, "leaders")
+    left = items
+    tasks = spark.sparkContext.defaultParallelism
     while True:
-        block = [(r.item, r.content) for r in left.orderBy("item").limit(size).collect()]
-        if not block:
+        sized = left.select("item", F.octet_length("content").alias("bytes")).orderBy("item").limit(size).collect()  # at most ``size`` rows
+        if not sized:
             break
-        found, of = leaders(block, limit)
-        own = spark.createDataFrame(list(of.items()), "item long, leader long")
-        rest = left.where(F.col("item") > block[-1][0])
-        lead = F.broadcast(spark.createDataFrame(found, "leader long, lead string"))  # at most ``size`` rows
-        longest = F.greatest(F.char_length("content"), F.char_length("lead"))
-        near = F.abs(F.char_length("content") - F.char_length("lead")) <= F.lit(float(limit)) * longest + F.lit(1e-9)
-        close = F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein("content", "lead").cast("double") / longest) <= F.lit(float(limit))
-        joined = written(rest.join(lead, near & close, "left").groupBy("item", "content").agg(F.min("leader").alias("leader")), "similar") if len(block) == size else None
-        if joined is not None:
-            own = own.unionByName(joined.where("leader is not null").select("item", "leader"))
-        settled = own if settled is None else settled.unionByName(own)
-        if joined is None:
+        order = [r.item for r, upto in zip(sized, accumulate(r.bytes for r in sized), strict=True) if upto <= ROUND_BYTES] or [sized[0].item]
+        block = left.where(F.col("item").between(order[0], order[-1]))
+        earlier = F.broadcast(block.select(F.col("item").alias("before"), F.col("content").alias("other")))  # ROUND_BYTES at most
+        pairs = block.repartition(tasks, "item").join(earlier, (F.col("before") < F.col("item")) & within("content", "other", limit))
+        near = {r.item: r.near for r in pairs.groupBy("item").agg(F.array_sort(F.collect_list("before")).alias("near")).collect()}  # numbers alone
+        of = leaders(order, near)
+        spark.createDataFrame(list(of.items()), schema).coalesce(1).write.mode("append").parquet(settled)
+        if len(sized) < size and len(order) == len(sized):
             break
+        rest = left.where(F.col("item") > order[-1])
+        first = block.where(F.col("item").isin([k for k, v in of.items() if k == v])).select(F.col("item").alias("leader"), F.col("content").alias("lead"))
+        joined = written(rest.join(F.broadcast(first), within("content", "lead", limit), "left").groupBy("item", "content").agg(F.min("leader").alias("leader")), "similar")
+        joined.where("leader is not null").select("item", "leader").write.mode("append").parquet(settled)
         left = joined.where("leader is null").select("item", "content")
-    return settled if settled is not None else spark.createDataFrame([], "item long, leader long")
+    return spark.read.schema(schema).parquet(settled) if sized or left is not items else spark.createDataFrame([], schema)
 
 
 def similar(entries: DataFrame, limit: float, size: int = ROUND) -> Summary:
