@@ -22,7 +22,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTE, SPACE, WORD, mix64, settle, slices, small_batches, stash, unstash, utf8, word_hashes, words
@@ -429,16 +429,18 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: Unit = BYTES, crowd: int | None = None, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, plus ``kept_text`` if asked for, and ``carried``: a struct of the ``carry`` columns.
+#: A text of at least as many words as a passage has.
+_PASSAGE = rf"^[\x20\x09-\x0D]*+(?:{WORD}+[\x20\x09-\x0D]++){{{PASSAGES.window - 1}}}{WORD}"
 
-    An element of ``unit`` goes if a string of ``unit.window`` elements that also starts elsewhere,
-    in the same row or another, covers it; a run of words goes with what stands between them, and
-    what stands before the first and after the last one stays. Null and empty texts, and texts
-    shorter than a window, lose nothing; repeated rows count as places of their own, so long ones
-    lose all they hold; ids may be null or repeat; an empty table gives none. Other columns are
-    not read. ``kept_text`` leaves characters whole: one that is removed in part stays.
-    """
+
+def _core(text: Column) -> Column:
+    """Bytes from the first word to the last."""
+    blanks = F.lit(" \t\n\v\f\r")
+    return F.octet_length(F.ltrim(F.reverse(F.ltrim(text, blanks)), blanks)).cast("long")
+
+
+def _cuts(docs: DataFrame, text_col: str, unit: Unit, crowd: int | None, with_text: bool) -> DataFrame:
+    """(text_key, copies, removed, spans, sha, kept) of the texts that occur more than once or hold repeated elements, as a written table."""
     copies, cut = repeated_spans(docs, text_col=text_col, unit=unit, crowd=crowd)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,9 +462,35 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     with small_batches(docs.sparkSession):
         measured = cut.select("text_key", "text", "spans").mapInArrow(measure, "text_key binary, removed long, spans long, sha string, kept string")
         known = stash(copies.join(measured, "text_key", "full"), "cut-texts")
+    unstash(cut)
+    return known
+
+
+def dedup_report(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: Unit = BYTES, crowd: int | None = None, with_text: bool = False, carry: tuple[str, ...] = (), passages: bool = False
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, plus ``kept_text`` if asked for, and ``carried``: a struct of the ``carry`` columns.
+
+    An element of ``unit`` goes if a string of ``unit.window`` elements that also starts elsewhere,
+    in the same row or another, covers it; a run of words goes with what stands between them, and
+    what stands before the first and after the last one stays. Null and empty texts, and texts
+    shorter than a window, lose nothing; repeated rows count as places of their own, so long ones
+    lose all they hold; ids may be null or repeat; an empty table gives none. Other columns are
+    not read. ``kept_text`` leaves characters whole: one that is removed in part stays.
+
+    With ``passages``, ``n_passage_bytes`` and ``n_passages`` follow: how many bytes runs of over 50
+    words take that also start elsewhere, and how many such runs there are. They are only counted;
+    a short one may be less than a string of ``unit``, so that nothing of it goes.
+    """
+    if passages:
+        others = _cuts(docs, text_col, PASSAGES, crowd, False).select("text_key", F.col("copies").alias("others"), F.col("removed").alias("passage_bytes"), F.col("spans").alias("passages"))
+        settle(docs.sparkSession)
+    known = _cuts(docs, text_col, unit, crowd, with_text)
+    if passages:
+        known = stash(known.join(others, "text_key", "full"), "cuts")
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = with_text or unit.words
-    rows = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), *([F.col(text_col).alias("text")] if whole else []), *([F.struct(*carry).alias("carried")] if carry else []))
+    rows = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), *([F.col(text_col).alias("text")] if whole else []), *([F.struct(*carry).alias("carried")] if carry else []), *([text.rlike(_PASSAGE).alias("worded"), _core(text).alias("core")] if passages else []))
     out = rows.join(known, "text_key", "left")
     # what a text keeps that occurs more than once: nothing, or the white space around its words
     all_gone, rest = F.coalesce(F.col("copies") > 1, F.lit(False)), F.lit("")
@@ -470,6 +498,7 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         all_gone = F.when(all_gone, F.regexp_count("text", F.lit(WORD)) >= unit.window).otherwise(F.lit(False))
         rest = F.concat(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0), F.regexp_extract("text", r"[\x20\x09-\x0D]*\z", 0))
     zero = F.lit(0).cast("long")
+    all_passage = F.coalesce(F.col("others") > 1, F.lit(False)) & F.col("worded") if passages else None
     return out.select(
         F.col(id_col),
         "n_bytes",
@@ -478,6 +507,7 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.when(all_gone, F.sha2(rest.cast("binary"), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
         *([F.when(all_gone, rest).otherwise(F.coalesce("kept", "text")).alias("kept_text")] if with_text else []),
         *(["carried"] if carry else []),
+        *([F.when(all_passage, F.col("core")).otherwise(F.coalesce("passage_bytes", zero)).alias("n_passage_bytes"), F.when(all_passage, F.lit(1).cast("long")).otherwise(F.coalesce("passages", zero)).alias("n_passages")] if passages else []),
     )
 
 

@@ -136,6 +136,23 @@ def test_repeated_passages(spark, crowd, monkeypatch):
     assert suffix_dedup.deduplicated(frame(spark, []), unit=suffix_dedup.PASSAGES).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 1])
+def test_short_passages_show_beside_repeated_bytes(spark, crowd, monkeypatch, tmp_path):
+    from patternlens.llm.queries import QUERIES
+
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    shared = " ".join(f"w{k}" for k in range(51))
+    rows = [(i, t) for i, (_, t) in enumerate(worded() + [(0, f"ahead {shared} behind"), (0, f"before\t{shared}\nafter"), (0, shared[: shared.rindex(" ")] + " only fifty"), (0, " " + shared + " "), (0, " " + shared + " ")])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op2_suffix_dedup"](spark, str(tmp_path))
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(tuple(r)[:5] for r in got.values()) == sorted(brute.report(rows)) and len(got) == out.count() == len(rows)
+    left = brute.all_without_passages(dict(rows))
+    assert {i: r.n_passage_bytes for i, r in got.items()} == {i: len((t or "").encode()) - len((left[i] or "").encode()) for i, t in rows}
+    assert len(shared) < 400 and [(got[i].n_removed, got[i].n_passage_bytes, got[i].n_passages) for i in range(len(rows) - 5, len(rows))] == [(0, n, int(n > 0)) for n in (len(shared), len(shared), 0, len(shared), len(shared))]
+    assert {i for i, r in got.items() if r.n_passages} == {i for i, r in got.items() if r.n_passage_bytes}
+
+
 def test_words_in_pieces(monkeypatch):
     rows = worded(5)
     offsets, data = utf8(__import__("pyarrow").array([t for _, t in rows]))
