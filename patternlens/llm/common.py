@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..deploy import ship
@@ -51,6 +52,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/patternlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +79,24 @@ def settle(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back(spark)
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Hands memory that the driver's JVM has freed outside its heap back to the system; False where the JVM cannot.
+
+    Plans, compilers and hundreds of threads leave it in the allocator's pools, which keep it otherwise.
+    """
+    jvm = spark.sparkContext._jvm
+    try:
+        # by reflection on the interface, as the server's own class is not open to callers
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
 
 
 @contextlib.contextmanager

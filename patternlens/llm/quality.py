@@ -8,6 +8,8 @@ the class prior pi is estimated from the positives and the unlabelled texts alon
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,11 +155,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         offsets, data = utf8(text)
         return pa.array([x.tobytes() for lo, hi in slices(offsets) for x in features(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])], pa.binary())
 
-    rows = samples.texts(docs, trusted.unionByName(free), id_col, text_col).select("kind", extract("text").alias("x")).collect()
-    rows.sort(key=lambda r: (r.kind, r.x))  # so that sums do not depend on the order of arrival
-    take = lambda kind: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.kind == kind], np.float64).reshape(-1, STATS + BINS)
-    positive, free_rows = take(1), take(0)
-    return fit(positive, free_rows, estimate_prior(positive, free_rows))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((k, x) for batch in batches for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))  # so that sums do not depend on the order of arrival
+        take = lambda kind: np.array([np.frombuffer(x, np.float32) for k, x in rows if k == kind], np.float64).reshape(-1, STATS + BINS)
+        positive, free_rows = take(1), take(0)
+        rows.clear()
+        yield pa.record_batch([pa.array([pickle.dumps(fit(positive, free_rows, estimate_prior(positive, free_rows)))], pa.binary())], names=["model"])
+
+    # learned by one task, so that the driver holds the model alone and none of the sample
+    rows = samples.texts(docs, trusted.unionByName(free), id_col, text_col).select("kind", extract("text").alias("x"))
+    found = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(nothing := np.zeros((0, STATS + BINS)), nothing, estimate_prior(nothing, nothing))
 
 
 def scorer(model: Model):

@@ -1,12 +1,14 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from patternlens.llm import mixing, ngram_join, quality, sentencepiece_backend, suffix_dedup, tokenfile, tokens, toxicity
-from patternlens.llm.common import utf8
+from patternlens.llm.common import give_back, utf8
 from patternlens.llm.queries import tokenizer_file
 
 from . import brute
@@ -397,6 +399,27 @@ def test_quality_features_by_brute_force():
     assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-5)
 
 
+def test_quality_is_learned_outside_the_driver(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["Plain", "words,", "12", "$$", f"v{i % 7}"][: 2 + 3 * (i % 2)]) for _ in range(30))) for i in range(1_000)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    tracemalloc.start()
+    model = quality.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000  # the sample alone is 1,200 rows of 4 KB, and learning holds several copies
+    found = lambda keep: quality.features(*utf8(pa.array([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 and keep(i)]))).astype(np.float64)
+    in_order = lambda x: np.array(sorted(x, key=lambda r: r.astype(np.float32).tobytes()))
+    positive, free = in_order(found(lambda i: i % 2 == 0)), in_order(found(lambda i: True))
+    want = quality.fit(positive, free, quality.estimate_prior(positive, free))
+    assert np.allclose(model.weight, want.weight, atol=1e-4) and abs(model.bias - want.bias) < 1e-4
+
+
+def test_driver_hands_free_memory_back(spark):
+    assert give_back(spark)
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_word_encoder_on_whole_documents():
     import pyarrow.parquet as pq
