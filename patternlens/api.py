@@ -125,12 +125,12 @@ def summarize_table(df: DataFrame, pipeline: str, order: str, options: Options |
         else:
             raise ValueError("path selection over a table: use operators.typed.select, which gives new entries")
     data = numbered.drop("_order")
-    j = F.to_json(F.struct(*data.columns), {"ignoreNullFields": "false"})
-    rows = numbered.select(F.lit(0).cast("long").alias("src"), F.col("_order").cast("long").alias("idx"), *data.columns, j.alias("j"))
     if group is not None:
+        j = F.to_json(F.struct(*data.columns), {"ignoreNullFields": "false"})
+        rows = numbered.select(F.lit(0).cast("long").alias("src"), F.col("_order").cast("long").alias("idx"), *data.columns, j.alias("j"))
         out = grouping.group_by_value(rows.select("src", "idx", "j", typed.key(data, group).alias("_key")), group, F.col("_key"))
     else:
-        out = _json_summary(json_source.rows(rows.select("idx", "j"), "idx", "j"), verb, None, options)
+        out = _json_summary(json_source.rows(numbered, "_order", columns=data.columns), verb, None, options)
     return _finished(out, options, top, label, None)
 
 

@@ -1,12 +1,14 @@
 """Schema clustering and recurring subtrees of JSON entries.
 
-Signatures are computed on the executors; only the different ones, few whatever the number of
-entries, come to the driver, which lets each join the first cluster it is similar enough to.
+Entries are read once: a task sums up by signature what it has read, and everything else comes out
+of the written sums. Only the different signatures, few whatever the number of entries, come to the
+driver, which lets each join the first cluster it is similar enough to.
 Equal signatures have similarity 1, so this is the sequential definition for thresholds up to 1.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,11 +17,18 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..functions import jsontext
+from ..tables import written
 from .result import PATHS, SCHEMAS, Summary
 
 #: Different signatures that the driver takes; more is an error, as no summary of them would help.
 MOST_SIGNATURES = 50_000
 
+#: Values of a field that a summary shows.
+SHOWN = 5
+
+#: Signatures, and bytes of values and paths, that a task holds before it passes its sums on.
+HELD, HELD_BYTES = 10_000, 32 << 20
+
 
 def signature(value: dict, depth: int) -> dict:
     """Field names to a type name, or to [type name, signature] where a nested object is described too."""
@@ -71,8 +80,27 @@ def first_fit(signatures: list[tuple[str, int]], threshold: float) -> list[tuple
     return out
 
 
-def _scalars(value: dict) -> list[dict]:
-    return [{"field": n, "value": t if (t := jsontext.scalar_text(v)) is not None else "[...]" if isinstance(v, list) else "{...}"} for n, v in sorted(value.items())]
+def _shown(v) -> str:
+    t = jsontext.scalar_text(v)
+    return t if t is not None else "[...]" if isinstance(v, list) else "{...}"
+
+
+class _Signatures:
+    """Signatures as text; kept by names and types where nothing nested is described."""
+
+    def __init__(self, depth: int):
+        self.depth, self.kept = depth, {}
+
+    def __call__(self, value: dict) -> str:
+        types = tuple(map(type, value.values()))
+        if self.depth > 0 and (dict in types or list in types):
+            return jsontext.dumps(signature(value, self.depth))
+        shape = (tuple(value), types)
+        if (text := self.kept.get(shape)) is None:
+            if len(self.kept) >= HELD:
+                self.kept.clear()
+            text = self.kept[shape] = jsontext.dumps(signature(value, self.depth))
+        return text
 
 
 def short_sample(v) -> str:
@@ -86,32 +114,79 @@ def short_sample(v) -> str:
     return "{...}" if isinstance(v, dict) else jsontext.scalar_text(v)
 
 
-_VALUES = "array<struct<field:string,value:string>>"
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+_TEXTS = pa.list_(pa.string())
+
 
+def _summed(entries: DataFrame, depth: int) -> DataFrame:
+    """(sig, n, size, src, idx, j, fields): of the entries of a signature that a task has read, or of those that are no objects (null).
 
-def _signed(entries: DataFrame, depth: int) -> DataFrame:
-    """(src, idx, j, sig, fields) of the entries that are objects."""
+    How many and how long they are, the first one's place, ``j`` if it is the only one, and of each
+    field the smallest different values, up to SHOWN. A task may give several rows of one signature.
+    """
     ship(entries.sparkSession)
+    names = ["sig", "n", "size", "src", "idx", "j", "fields"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("field", pa.string()), ("own", _TEXTS)])))
+
+    def batch_of(found: dict) -> pa.RecordBatch:
+        rows = [(sig, n, size, *first, text if n == 1 else None, [{"field": k, "own": v} for k, v in own.items()]) for sig, (n, size, first, text, own) in found.items()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed, found, held = _Signatures(depth), {}, 0
         for batch in batches:
-            keep, sigs, fields = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                value = jsontext.loads(text)
-                if isinstance(value, dict):
-                    keep.append(i)
-                    sigs.append(jsontext.dumps(signature(value, depth)))
-                    fields.append(_scalars(value))
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*rows.columns, pa.array(sigs, pa.string()), pa.array(fields, kind)], names=["src", "idx", "j", "sig", "fields"])
+            for src, idx, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                value, place = jsontext.loads(text), (src, idx)
+                sig = signed(value) if isinstance(value, dict) else None
+                row = found.get(sig)
+                if row is None:
+                    row = found[sig] = [0, 0, place, text, {}]
+                    held += len(text) + 200
+                row[0] += 1
+                row[1] += _size(text)
+                if place < row[2]:
+                    row[2] = place
+                if sig is None:
+                    continue
+                fields = row[4]
+                for name, v in value.items():
+                    t = _shown(v)
+                    own = fields.get(name)
+                    if own is None:
+                        fields[name] = [t]
+                        held += len(t) + 100
+                    elif (len(own) < SHOWN or t < own[-1]) and t not in own:
+                        insort(own, t)
+                        held += len(t)
+                        if len(own) > SHOWN:
+                            held -= len(own.pop())
+                if len(found) > HELD or held > HELD_BYTES:
+                    yield batch_of(found)
+                    found, held = {}, 0
+        if found:
+            yield batch_of(found)
+
+    return entries.select("src", "idx", "j").mapInArrow(read, "sig string, n long, size long, src long, idx long, j string, fields array<struct<field:string,own:array<string>>>")
+
+
+def _members(entries: DataFrame, depth: int, of: DataFrame) -> DataFrame:
+    """(key, src, idx) of the entries that are objects."""
 
-    return entries.select("src", "idx", "j").mapInArrow(sign, f"src long, idx long, j string, sig string, fields {_VALUES}")
+    @F.arrow_udf("string")
+    def sign(column: pa.Array) -> pa.Array:
+        signed = _Signatures(depth)
+        values = map(jsontext.loads, column.to_pylist())
+        return pa.array([signed(v) if isinstance(v, dict) else None for v in values], pa.string())
+
+    return entries.select("src", "idx", sign("j").alias("sig")).join(F.broadcast(of), "sig").select("key", "src", "idx")
 
 
 def signature_counts(entries: DataFrame, depth: int = 1) -> DataFrame:
     """(sig, n): how many entries have each signature, given as JSON text."""
-    return _signed(entries, depth).groupBy("sig").agg(F.count("*").alias("n"))
+    return _summed(entries, depth).where("sig is not null").groupBy("sig").agg(F.sum("n").alias("n"))
 
 
 def clusters(signed: DataFrame, threshold: float, order: tuple[str, ...]) -> DataFrame:
@@ -137,7 +212,7 @@ def _described(groups: DataFrame) -> DataFrame:
 
 def _five(values: DataFrame) -> DataFrame:
     """The five smallest different values of each field of each cluster."""
-    return values.groupBy("key", "field").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 5).alias("own")).select("key", "field", F.explode("own").alias("value"))
+    return values.groupBy("key", "field").agg(F.slice(F.array_sort(F.collect_set("value")), 1, SHOWN).alias("own")).select("key", "field", F.explode("own").alias("value"))
 
 
 def _first_five(values: DataFrame, *order: str) -> DataFrame:
@@ -164,69 +239,110 @@ def schemas(entries: DataFrame, threshold: float = 0.8, depth: int = 1) -> Summa
     A cluster of one entry is a group and an outlier. Which entries a cluster has is the
     relation ``extra["members"]`` (key, src, idx): it may be as long as the input.
     """
-    signed = _signed(entries, depth)
+    summed = written(_summed(entries, depth), "schemas")
+    signed = summed.where("sig is not null")
     of = clusters(signed, threshold, ("src", "idx"))
     rows = signed.join(F.broadcast(of), "sig")  # at most MOST_SIGNATURES rows
-    groups = _described(rows.groupBy("key", "rep").agg(F.count("*").alias("count"), F.min(F.struct("src", "idx")).alias("first")))
-    values = _five(rows.select("key", F.explode("fields").alias("f")).select("key", "f.field", "f.value"))
+    groups = _described(rows.groupBy("key", "rep").agg(F.sum("n").alias("count"), F.min(F.struct("src", "idx")).alias("first")))
+    values = _five(rows.select("key", F.explode("fields").alias("f")).select("key", "f.field", F.explode("f.own").alias("value")))
     single = rows.join(groups.where("count = 1").select("key"), "key")
     lone = single.select(F.struct("src", "idx").alias("first"), _pretty(F.col("j")).alias("content"), (F.col("idx") + 1).alias("line_number"), F.lit("unique_schema").alias("reason"), F.lit(0.0).alias("score"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     totals = (
-        entries.agg(F.count("*").alias("total_entries"), _bytes("j").alias("original_size"))
+        summed.agg(total("n").alias("total_entries"), total("size").alias("original_size"))
         .crossJoin(groups.agg(F.count("*").alias("unique_patterns"), F.coalesce(F.max("count"), F.lit(0)).alias("largest_cluster"), _bytes("description").alias("a")))
         .crossJoin(values.agg(_bytes("value").alias("b")))
         .crossJoin(lone.agg(F.count("*").alias("outliers"), _bytes("content").alias("c")))
         .withColumn("reduced_size", F.col("a") + F.col("b") + F.col("c"))
     )
-    return Summary(SCHEMAS, "schema_clustering", groups, lone, totals, values=values, prefix="schema", extra={"members": rows.select("key", "src", "idx")})
+    return Summary(SCHEMAS, "schema_clustering", groups, lone, totals, values=values, prefix="schema", extra={"members": _members(entries, depth, of)})
 
 
-def objects(entries: DataFrame) -> DataFrame:
-    """(src, idx, ord, path, j, sig, fields) of every object at every depth, ``ord`` its place in a walk from the top.
+def _objects(entries: DataFrame) -> DataFrame:
+    """(sig, n, size, src, idx, ord, j, paths, heads): of the objects of a signature, at any depth, that a task has read.
 
-    Paths start at ``$[*]``, as entries are taken for elements of one array; ``ord`` sorts like
-    the walk visits.
+    How many there are, the first one's place, ``j`` if it is the only one, the paths they stand at, and
+    the first ones with their fields, up to SHOWN. Paths start at ``$[*]``, as entries are taken for
+    elements of one array; ``ord``, the place in a walk from the top, sorts like the walk visits. A row
+    without ``sig`` has the number and the size of the entries.
     """
     ship(entries.sparkSession)
+    names = ["sig", "n", "size", "src", "idx", "ord", "j", "paths", "heads"]
+    long, kind = pa.int64(), pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))
+    kinds = (pa.string(), long, long, long, long, long, pa.string(), _TEXTS, pa.list_(pa.struct([("src", long), ("idx", long), ("ord", long), ("fields", kind)])))
+
+    def batch_of(found: dict, n: int, size: int) -> pa.RecordBatch:
+        rows = [(None, n, size, None, None, None, None, [], [])]
+        for sig, (count, paths, heads, value) in found.items():
+            shown = [{"src": s, "idx": i, "ord": o, "fields": f} for (s, i, o), f in heads]
+            rows.append((sig, count, 0, *heads[0][0], jsontext.dumps(value) if count == 1 else None, sorted(paths), shown))
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))
+        signed, found, n, size, held = _Signatures(0), {}, 0, 0, 0
         for batch in batches:
-            out: list[tuple] = []
             for src, idx, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place, stack = 0, [("$[*]", jsontext.loads(text))]
+                n += 1
+                size += _size(text)
+                value = jsontext.loads(text)
+                place, stack = 0, [("$[*]", value)]
                 while stack:
                     path, v = stack.pop()
-                    if isinstance(v, dict):
+                    if isinstance(v, list):
+                        path += "[*]"
+                        stack.extend((path, x) for x in reversed(v) if isinstance(x, (dict, list)))
+                        continue
+                    if not isinstance(v, dict):
+                        continue
+                    sig, at = signed(v), (src, idx, place)
+                    place += 1
+                    row = found.get(sig)
+                    if row is None:
+                        row = found[sig] = [0, set(), [], v]
+                        held += len(text) + 200
+                    row[0] += 1
+                    if row[0] == 2:
+                        row[3] = None
+                    if path not in row[1]:
+                        row[1].add(path)
+                        held += len(path) + 100
+                    heads = row[2]
+                    if len(heads) < SHOWN or at < heads[-1][0]:
                         fields = [{"field": k, "value": short_sample(v[k])} for k in sorted(v)]
-                        out.append((src, idx, place, path, jsontext.dumps(v), jsontext.dumps(signature(v, 0)), fields))
-                        place += 1
-                        stack.extend((f"{path}.{n}", v[n]) for n in sorted(v, reverse=True))
-                    elif isinstance(v, list):
-                        stack.extend((f"{path}[*]", x) for x in reversed(v))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), kind)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["src", "idx", "ord", "path", "j", "sig", "fields"])
+                        insort(heads, (at, fields), key=lambda h: h[0])
+                        held += 300 * len(fields) if len(heads) <= SHOWN else 0
+                        del heads[SHOWN:]
+                    inner = sorted(k for k, x in v.items() if isinstance(x, (dict, list)))
+                    stack.extend((f"{path}.{k}", v[k]) for k in reversed(inner))
+                if len(found) > HELD or held > HELD_BYTES:
+                    yield batch_of(found, n, size)
+                    found, n, size, held = {}, 0, 0, 0
+        if n:
+            yield batch_of(found, n, size)
 
-    return entries.select("src", "idx", "j").mapInArrow(walk, f"src long, idx long, ord long, path string, j string, sig string, fields {_VALUES}")
+    return entries.select("src", "idx", "j").mapInArrow(walk, "sig string, n long, size long, src long, idx long, ord long, j string, paths array<string>, heads array<struct<src:long,idx:long,ord:long,fields:array<struct<field:string,value:string>>>>")
 
 
 def subtree(entries: DataFrame, threshold: float = 0.8) -> Summary:
     """Object shapes that occur more than once, wherever they stand; the others are singletons."""
-    found = objects(entries)
+    summed = written(_objects(entries), "objects")
+    found = summed.where("sig is not null")
     of = clusters(found, threshold, ("src", "idx", "ord"))
     rows = found.join(F.broadcast(of), "sig")  # at most MOST_SIGNATURES rows
-    grouped = rows.groupBy("key", "rep").agg(F.count("*").alias("count"), F.min(F.struct("src", "idx", "ord")).alias("first"), F.collect_set("path").alias("paths"))
+    placed = rows.groupBy("key").agg(F.sum("n").alias("count"), F.min(F.struct("src", "idx", "ord")).alias("first"))
+    paths = rows.select("key", F.explode("paths").alias("path")).groupBy("key").agg(F.collect_set("path").alias("paths"))
+    grouped = placed.join(paths, "key").join(F.broadcast(of.select("key", "rep").distinct()), "key").select("key", "rep", "count", "first", "paths")
     groups = _described(grouped.where("count > 1"))
     kept = groups.select("key", "fields")
-    each = rows.select("key", "src", "idx", "ord", F.explode("fields").alias("f")).select("key", "src", "idx", "ord", "f.field", "f.value")
+    heads = rows.select("key", F.explode("heads").alias("h")).select("key", "h.src", "h.idx", "h.ord", F.explode("h.fields").alias("f"))
+    each = heads.select("key", "src", "idx", "ord", "f.field", "f.value")
     named = each.join(kept.select("key", F.explode("fields").alias("field")), ["key", "field"])
     values = _first_five(named, "src", "idx", "ord")
     single = rows.join(grouped.where("count = 1").select("key"), "key")
-    lone = single.select(F.struct("src", "idx", "ord").alias("first"), _pretty(F.col("j")).alias("content"), F.lit(0).cast("long").alias("line_number"), F.concat(F.lit("unique_schema at "), F.col("path")).alias("reason"), F.lit(0.0).alias("score"))
+    lone = single.select(F.struct("src", "idx", "ord").alias("first"), _pretty(F.col("j")).alias("content"), F.lit(0).cast("long").alias("line_number"), F.concat(F.lit("unique_schema at "), F.col("paths")[0]).alias("reason"), F.lit(0.0).alias("score"))
     counted = groups.agg(F.count("*").alias("unique_patterns"), F.coalesce(F.max("count"), F.lit(0)).alias("largest_cluster"), F.coalesce(F.sum("count"), F.lit(0)).alias("in_groups"), _bytes("description").alias("a"), F.coalesce(F.sum(F.aggregate("paths", F.lit(0), lambda n, p: n + F.octet_length(p))), F.lit(0)).alias("b"))
     totals = (
-        entries.agg(F.count("*").alias("n"), _bytes("j").alias("size"))
+        summed.where("sig is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
         .crossJoin(counted)
         .crossJoin(values.agg(_bytes("value").alias("c")))
         .crossJoin(lone.agg(F.count("*").alias("outliers"), _bytes("reason").alias("d")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..deploy import ship
 from ..functions import jsontext
@@ -47,16 +48,57 @@ def documents(docs: DataFrame, stages: tuple[Stage, ...] = (), src: str = "src",
     return docs.where(F.col(raw).isNotNull()).select(F.col(src).cast("long"), F.col(raw)).mapInArrow(read, SCHEMA)
 
 
-def rows(df: DataFrame, order: str, json_col: str | None = None) -> DataFrame:
-    """Rows of a table as entries of one source; ``order`` numbers them. Nulls in columns are present nulls."""
+_SAME = (S.ByteType, S.ShortType, S.IntegerType, S.LongType, S.BooleanType, S.StringType)
+#: Escapes that Spark writes in capitals: control characters without a short form whose code has a letter.
+_CAPITALS = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
+
+
+def _same(kind: S.DataType) -> bool:
+    """Whether Spark writes values of the type as canonical text does, but for the order of fields."""
+    if isinstance(kind, S.ArrayType):
+        return _same(kind.elementType)
+    if isinstance(kind, S.StructType):
+        return len({n.lower() for n in kind.names}) == len(kind.names) and all(_same(f.dataType) for f in kind)
+    return isinstance(kind, _SAME)
+
+
+def _sorted(value: Column, kind: S.DataType) -> Column:
+    """The value with the fields of all structs in order of their names."""
+    if isinstance(kind, S.ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType)) if isinstance(kind.elementType, (S.ArrayType, S.StructType)) else value
+    if isinstance(kind, S.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_sorted(value.getField(n), kind[n].dataType).alias(n) for n in sorted(kind.names))))
+    return value
+
+
+def canonical_columns(df: DataFrame, names: list[str]) -> Column | None:
+    """Canonical text of an object of the columns, without Python; None if a column is of a type that needs it."""
+    if not _same(S.StructType([df.schema[n] for n in names])) or len({n.lower() for n in df.columns}) < len(df.columns):
+        return None
+    text = F.to_json(F.struct(*(_sorted(F.col(f"`{n.replace('`', '``')}`"), df.schema[n].dataType).alias(n) for n in sorted(names))), {"ignoreNullFields": "false"})
+    small = text
+    for code in _CAPITALS:
+        small = F.regexp_replace(small, F.lit(rf"(?<!\\)((?:\\\\)*+)\\u{code}"), F.lit(rf"$1\\u{code.lower()}"))
+    return F.when(text.contains("\\u00"), small).otherwise(text)
+
+
+def rows(df: DataFrame, order: str, json_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Rows of a table as entries of one source; ``order`` numbers them. Nulls in columns are present nulls.
+
+    An entry is the text of ``json_col``, else an object of the columns, all if none are named.
+    """
+    place = (F.lit(0).cast("long").alias("src"), F.col(order).cast("long").alias("idx"))
+    names = columns or df.columns
+    if json_col is None and (plain := canonical_columns(df, names)) is not None:
+        return df.select(*place, plain.alias("j"))
     ship(df.sparkSession)
-    j = F.col(json_col) if json_col else F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    j = F.col(json_col) if json_col else F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
 
     @F.arrow_udf("string")
     def canonical(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else jsontext.dumps(jsontext.loads(x)) for x in column.to_pylist()], pa.string())
 
-    return df.select(F.lit(0).cast("long").alias("src"), F.col(order).cast("long").alias("idx"), canonical(j).alias("j"))
+    return df.select(*place, canonical(j).alias("j"))
 
 
 def transformed(entries: DataFrame, stages: tuple[Stage, ...]) -> DataFrame:
@@ -67,6 +109,7 @@ def transformed(entries: DataFrame, stages: tuple[Stage, ...]) -> DataFrame:
     """
     if not stages:
         return entries
+    ship(entries.sparkSession)
     many = any(isinstance(x, tuple) for s in stages if isinstance(s, PathSelect) for x in s.segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
