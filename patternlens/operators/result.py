@@ -7,6 +7,7 @@ that are asked for are collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -22,11 +23,45 @@ COSTS = {GROUPED: (GROUP, 1, OUTLIER), SCHEMAS: (SCHEMA, 1, OUTLIER), PATHS: (PA
 #: Groups and outliers that a report without a budget may have.
 MOST = 1_000_000
 
+#: Entries of a report's groups up to which their line ranges are brought with it; those of more stay a relation.
+HELD_RANGES = 100_000
+
 
 def capacity(budget: int, used: int, cost: int) -> int:
     return max(0, budget - used) // cost
 
 
+class LineRanges(Sequence):
+    """All line ranges of a group in order, read from the executors as they are asked for: there may be as many as entries."""
+
+    def __init__(self, ranges: DataFrame, key):
+        self.rows = ranges.where(F.col("key").eqNullSafe(F.lit(key))).select("start", "end")
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return ((r["start"], r["end"]) for r in self.rows.orderBy("start", "end").toLocalIterator())
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __bool__(self) -> bool:
+        return not self.rows.isEmpty()
+
+    def __getitem__(self, i):
+        if isinstance(i, slice) and i.step in (None, 1) and (i.start or 0) >= 0 and i.stop is not None and i.stop >= 0:
+            skip = i.start or 0
+            return [(r["start"], r["end"]) for r in self.rows.orderBy("start", "end").offset(skip).limit(max(0, i.stop - skip)).collect()]
+        if isinstance(i, slice):
+            return list(self)[i]
+        place = i if i >= 0 else len(self) + i
+        found = self[place : place + 1] if place >= 0 else []
+        if not found:
+            raise IndexError(i)
+        return found[0]
+
+    def lines(self) -> int:
+        return self.rows.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0))).first()[0]
+
+
 @dataclass(frozen=True)
 class Summary:
     """``groups``: key, name, pattern, count, first and what the shape adds; ``outliers``: first, content, line_number, reason, score.
@@ -70,6 +105,9 @@ class Summary:
     def collect(self, most: int = MOST) -> dict:
         """The analysis as plain data; the driver holds the groups and outliers that budget and top leave.
 
+        Groups of over HELD_RANGES entries have their line ranges as :class:`LineRanges`, of which the
+        driver holds what is asked for.
+
         More than ``most`` of them are an error: a budget or top makes a report shorter, and the
         relations themselves have any number.
         """
@@ -92,7 +130,8 @@ class Summary:
             keep, applied = self.limit, True
         rows = self.ordered_groups().limit(keep).collect() if keep else []
         chosen = [r["key"] for r in rows]
-        parts = {name: self._of(getattr(self, name), chosen) for name in ("samples", "ranges", "values")}
+        held = sum(r["count"] for r in rows) <= HELD_RANGES
+        parts = {name: self._of(getattr(self, name), chosen) for name in ("samples", "values")} | {"ranges": self._of(self.ranges, chosen) if held else None}
         items = [self._item(i, r.asDict(True), t["total_entries"], parts) for i, r in enumerate(rows)]
         outliers = self.outliers.orderBy(*self.extra.get("outlier_order", ("first",))).limit(keep_out).collect() if keep_out else []
         named = [{"id": f"{self.outlier_prefix}_{i}", "content": r.content, "line_number": r.line_number, "reason": r.reason, "score": r.score} for i, r in enumerate(outliers)]
@@ -113,7 +152,10 @@ class Summary:
         share = {"count": r["count"], "percentage": r["count"] / total * 100.0 if total else 0.0}
         if self.shape == GROUPED:
             samples = sorted(parts["samples"].get(key, []), key=lambda s: s["pos"])
-            ranges = sorted((x["start"], x["end"]) for x in parts["ranges"].get(key, []))
+            if parts["ranges"] is None:
+                ranges = LineRanges(self.ranges, key) if self.ranges is not None else []
+            else:
+                ranges = sorted((x["start"], x["end"]) for x in parts["ranges"].get(key, []))
             return out | {"name": r["name"], "pattern": r["pattern"]} | share | {"samples": [{"content": s["content"], "line_numbers": list(s["line_numbers"] or []), "variable_values": {k: list(v) for k, v in sorted((s["variable_values"] or {}).items())}} for s in samples], "line_ranges": ranges}
         values: dict = {}
         for v in parts["values"].get(key, []):

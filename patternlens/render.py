@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict
 
 from .operators.profile import CostPreview, Discovery, pipeline_selector
-from .operators.result import GROUPED, ITEMS, OUTLIERS, PATHS, SCHEMAS
+from .operators.result import GROUPED, ITEMS, OUTLIERS, PATHS, SCHEMAS, LineRanges
 
 #: Marks and limits of the reports.
 MANY_GROUPS, MOST_SAMPLES, MOST_RANGES = 30, 3, 3
@@ -19,7 +19,7 @@ def format_count(n: int) -> str:
 
 def to_json(output) -> str:
     data = output if isinstance(output, dict) else {k: v for k, v in asdict(output).items() if k not in ("suggestion", "warning") or v is not None}
-    return json.dumps(data, indent=2, ensure_ascii=False)
+    return json.dumps(data, indent=2, ensure_ascii=False, default=list)  # of what is no plain data, line ranges alone are left
 
 
 def _fenced(text: str, kind: str = "") -> list[str]:
@@ -77,8 +77,11 @@ def _grouped(r: dict, algorithm: str) -> list[str]:
         if algorithm != "edit_distance_clustering":
             out += ["**Pattern**:", *_fenced(g["pattern"]), ""]
         if g["line_ranges"]:
-            shown = ", ".join(str(a) if a == b else f"{a}-{b}" for a, b in g["line_ranges"][:MOST_RANGES])
-            more = f"  (… {sum(b - a + 1 for a, b in g['line_ranges'])} total lines)" if len(g["line_ranges"]) > MOST_RANGES else ""
+            ranges = g["line_ranges"]
+            head = ranges[: MOST_RANGES + 1]
+            shown = ", ".join(str(a) if a == b else f"{a}-{b}" for a, b in head[:MOST_RANGES])
+            total = lambda r: r.lines() if isinstance(r, LineRanges) else sum(b - a + 1 for a, b in r)
+            more = f"  (… {total(ranges)} total lines)" if len(head) > MOST_RANGES else ""
             out += [f"**Line ranges**: {shown}{more}", ""]
         if g["samples"]:
             out += _samples(g["samples"], g["count"])
