@@ -18,14 +18,17 @@ def estimated_tokens(size: Column) -> Column:
 
 def ngram_words(text: Column) -> Column:
     """Words between white space, brackets, colons, commas, semicolons and quotes."""
-    return F.filter(F.split(text, r"""(?U)[\s\[\](){}:,;"']""", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, r"""(?U)[\s\[\](){}:,;"']+""", -1), "")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Windows of n words joined by a blank; fewer words are one n-gram, no words the empty one."""
-    size = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(size < n, F.array(F.array_join(words, " "))).otherwise(many)
+def ngram_at(words: Column, at: Column, n: int) -> Column:
+    """The window of n words that starts at a place from 0, joined by a blank; null where none does.
+
+    Fewer words are one n-gram at the place 0 or null, no words the empty one.
+    """
+    window = F.concat_ws(" ", *(F.get(words, at + i) for i in range(n)))
+    few = F.when(F.coalesce(at, F.lit(0)) == 0, F.array_join(words, " "))
+    return F.when(F.size(words) < n, few).when(at <= F.size(words) - n, window)
 
 
 def is_continuation(line: Column) -> Column:

@@ -7,15 +7,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_words, ngrams
+from ..functions.text import ngram_at, ngram_words
 from ..tables import written
 from .result import OUTLIERS, Summary
 
 
+#: Frequent n-grams whose counts every task has at hand, and bytes of them.
+FREQUENT, FREQUENT_BYTES = 200_000, 16 << 20
+
+
 def _exploded(entries: DataFrame, n: int, *keep: str) -> DataFrame:
     """A row for each n-gram. The words are a column of their own first: inside the windows they would be split anew for each."""
-    split = entries.select(*keep, ngram_words(F.col("content")).alias("words"))
-    return split.select(*keep, F.explode(ngrams(F.col("words"), n)).alias("ngram"))
+    split = entries.select(*keep, ngram_words(F.col("content")).alias("words")).where("words is not null")
+    placed = split.select(*keep, "words", F.posexplode_outer("words").alias("at", "word"))
+    return placed.select(*keep, ngram_at(F.col("words"), F.col("at"), n).alias("ngram")).where("ngram is not null")
 
 
 def ngram_counts(entries: DataFrame, n: int = 2) -> DataFrame:
@@ -23,18 +28,44 @@ def ngram_counts(entries: DataFrame, n: int = 2) -> DataFrame:
     return _exploded(entries, n).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
+def top_ngrams(counts: DataFrame) -> DataFrame:
+    """The ten most frequent of (ngram, n); equal counts in order of the n-gram."""
+    return counts.orderBy(F.desc("n"), "ngram").limit(10)
+
+
+def _frequent_from(counts: DataFrame) -> int:
+    """The least power of two such that the n-grams that occur as often are few enough to be sent to every task."""
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    rows = counts.groupBy(power.alias("power")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("ngram")).alias("bytes")).collect()
+    many = size = 0
+    least = 63
+    for r in sorted(rows, key=lambda r: -r.power):
+        many, size = many + r.rows, size + r.bytes
+        if many > FREQUENT or size > FREQUENT_BYTES:
+            break
+        least = r.power
+    return max(2, 1 << least) if least < 63 else 1 << 62
+
+
 def scores(entries: DataFrame, n: int = 2, counts: DataFrame | None = None) -> DataFrame:
     """(src, idx, score): the mean share that an entry's n-grams have of all n-grams.
 
     Counts are summed as whole numbers and divided once, so the order of the rows does not matter.
-    They are a written table, so both sides of the join are plain shuffles and Spark can split the
-    rows of a frequent n-gram.
+    Every n-gram counts 1, and what it occurs more often is added: of the most frequent ones where
+    the entry is read, so that they are not shuffled; of the others by a join with those that occur
+    twice at least. What occurs once has nothing to send back.
     """
     each = _exploded(entries, n, "src", "idx")
     counts = written(ngram_counts(entries, n), "ngrams") if counts is None else counts
     total = counts.agg(F.sum("n")).first()[0] or 0
-    own = each.join(counts, "ngram").groupBy("src", "idx").agg(F.sum("n").cast("double").alias("hits"), F.count("*").cast("double").alias("grams"))
-    return own.select("src", "idx", (F.col("hits") / F.lit(float(total)) / F.col("grams")).alias("score"))
+    least = _frequent_from(counts)
+    frequent = F.broadcast(counts.where(F.col("n") >= least))  # at most FREQUENT rows
+    more = (F.col("n") - 1).alias("more")
+    here = each.join(frequent, "ngram", "left").select("src", "idx", F.coalesce(more, F.lit(0)).alias("more"), F.lit(1).alias("grams"))
+    there = each.join(frequent, "ngram", "left_anti").join(counts.where((F.col("n") > 1) & (F.col("n") < least)), "ngram").select("src", "idx", more, F.lit(0).alias("grams"))
+    own = here.unionByName(there).groupBy("src", "idx").agg(F.sum("more").alias("more"), F.sum("grams").alias("grams"))
+    hits, grams = (F.col("more") + F.col("grams")).cast("double"), F.col("grams").cast("double")
+    return own.select("src", "idx", (hits / F.lit(float(total)) / grams).alias("score"))
 
 
 def _kth(scored: DataFrame, k: int, bins: int = 256) -> float:
@@ -76,5 +107,5 @@ def outliers(entries: DataFrame, n: int = 2, explicit: float = 0.0) -> Summary:
     found = entries.join(rare, ["src", "idx"]).select(F.struct("src", "idx").alias("first"), "content", F.coalesce(F.col("line_numbers")[0], F.lit(0)).alias("line_number"), F.lit("rare_ngrams").alias("reason"), "score")
     size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).cast("long")
     totals = entries.agg(F.count("*").alias("total_entries"), size("content").alias("original_size")).crossJoin(found.agg(F.count("*").alias("outliers"), size("content").alias("reduced_size")))
-    features = counts.orderBy(F.desc("n"), "ngram").limit(10)
+    features = top_ngrams(counts)
     return Summary(OUTLIERS, "ngram_outlier_detection", None, found, totals, baseline=baseline, features=features)

@@ -69,3 +69,62 @@ def test_values_of_a_table_are_not_collected_in_one_task(spark):
     s = api.summarize_table(e, "schemas | label(.event_type)", "event_id")
     assert s.collect()["results"]["schemas"][0]["sample_values"]["event_id"] == ["0", "1", "10", "100", "1000"]
     assert "collect_set" in plan(s.values) and "MapInArrow" not in plan(s.values) and "range" not in plan(s.values).lower().replace("rangepartitioning", "")
+
+
+def test_long_groups_leave_their_line_ranges_on_the_executors(spark, monkeypatch):
+    """A report's line ranges may be as many as entries: they are read as they are asked for."""
+    from patternlens import render
+    from patternlens.operators import result
+
+    log = "".join(f"get {i}\n" if i % 3 else f"put {i}\n" for i in range(1, 31))
+    whole = api.process_to_output(spark, log)
+    monkeypatch.setattr(result, "HELD_RANGES", 15)
+    calls = []
+    monkeypatch.setattr(result.Summary, "_of", (lambda of: lambda self, part, chosen: calls.append(part) or of(self, part, chosen))(result.Summary._of))
+    s = api.summarize(spark, log)
+    out = s.collect()
+    assert calls and not any(part is s.ranges for part in calls)
+    mine, want = out["results"]["groups"][0]["line_ranges"], whole["results"]["groups"][0]["line_ranges"]
+    assert not isinstance(mine, list) and list(mine) == want and len(mine) == len(want) == 10 and mine[:3] == want[:3] and mine[-1] == want[-1] and mine.lines() == 20
+    assert render.to_markdown(out) == render.to_markdown(whole) and render.to_json(out) == render.to_json(whole)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_ngrams_without_lambdas(spark, n):
+    from collections import Counter
+
+    from patternlens.operators import outliers
+
+    texts = ["", "a", "a b", " a  b c; d ", "a b c d e", "[x]", None, "a b c"]
+    entries = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "src long, idx long, content string")
+    want = Counter()
+    for t in texts:
+        if t is not None:
+            w = [x for x in __import__("re").split(r"[\s\[\](){}:,;\"']", t) if x]
+            want.update([" ".join(w)] if len(w) < n else [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)])
+    found = outliers.ngram_counts(entries, n)
+    assert {r.ngram: r.n for r in found.collect()} == want and "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 3, 200_000])
+def test_scores_with_few_or_many_frequent_ngrams(spark, monkeypatch, most):
+    """Whatever is taken for frequent, scores are the same; frequent n-grams are joined where entries are read."""
+    from patternlens.operators import outliers
+
+    from .oracle import ngram_scores
+
+    monkeypatch.setattr(outliers, "FREQUENT", most)
+    texts = ["the quick fox"] * 9 + ["the quick dog runs", "one of a kind", "", "one of the quick"] + ["of a"] * 3
+    entries = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)], "src long, idx long, content string")
+    scored = outliers.scores(entries)
+    got = {r.idx: r.score for r in scored.collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - s) < 1e-15 for i, s in enumerate(ngram_scores(texts, 2)))
+    assert "LeftAnti" in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_top_ngrams_need_no_scores(spark, monkeypatch):
+    from patternlens import queries
+    from patternlens.operators import outliers
+
+    monkeypatch.setattr(outliers, "scores", None)
+    assert queries.q18_top_ngrams(spark, "/root/testdata/sf0.001").count() == 10
