@@ -40,11 +40,13 @@ def patterns(entries: DataFrame) -> Summary:
     first = F.min(F.struct("src", "idx"))
     groups = rows.groupBy("key").agg(F.count("*").alias("count"), first.alias("first")).withColumn("name", T.template_name(F.col("key"))).withColumn("pattern", T.pattern(F.col("key")))
     head = _firsts(rows, 5)
-    values = head.select("key", "pos", F.posexplode(T.variables(F.col("first_line"))).alias("slot", "value"))
-    lists = values.groupBy("key", "slot").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("own"))
-    maps = lists.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("var_"), F.col("slot").cast("string")), F.col("own.value")))).alias("variable_values"))
-    three = head.where(F.col("pos") <= SAMPLES).groupBy("key").agg(F.min(F.struct("pos", "content")).alias("one"), F.array_sort(F.collect_list(F.struct("pos", F.col("line_numbers")[0].alias("n")))).alias("numbers"))
-    samples = three.join(maps, "key", "left").select("key", F.lit(1).alias("pos"), F.col("one.content").alias("content"), F.col("numbers.n").alias("line_numbers"), "variable_values")
+    own = head.select("key", "pos", "content", F.col("line_numbers")[0].alias("n"), F.coalesce(T.variables(F.col("first_line")), F.array().cast("array<string>")).alias("vars"))
+    five = own.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "content", "n", "vars"))).alias("own"))  # five rows at most
+    slots = F.array_max(F.transform("own", lambda r: F.size(r["vars"])))
+    places = F.sequence(F.lit(0), F.greatest(slots, F.lit(1)) - 1)
+    of_slot = lambda j: F.transform(F.filter("own", lambda r: F.size(r["vars"]) > j), lambda r: F.get(r["vars"], j))
+    maps = F.when(slots > 0, F.map_from_arrays(F.transform(places, lambda j: F.concat(F.lit("var_"), j.cast("string"))), F.transform(places, of_slot)))
+    samples = five.select("key", F.lit(1).alias("pos"), F.col("own")[0]["content"].alias("content"), F.slice(F.col("own")["n"], 1, SAMPLES).alias("line_numbers"), maps.alias("variable_values"))
     lone = _alone(rows.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("src", "idx", "content", F.col("line_numbers")[0].alias("line"))).alias("one")), entries)
     return Summary(GROUPED, "template_extraction", groups, lone, _totals(entries, "content", groups, samples, 8, lone), samples, line_ranges(rows.select("key", F.col("line_numbers")[0].alias("number"))))
 

@@ -15,6 +15,7 @@ from ..deploy import ship
 from ..functions import jsontext
 from ..functions import tokens as T
 from ..functions.text import truncated
+from ..tables import written
 from .result import GROUPED, OUTLIERS, PATHS, SCHEMAS, Summary
 
 #: Different values counted, values shown.
@@ -112,8 +113,9 @@ def cost_buckets(s: Summary) -> DataFrame:
     total = lambda df, path, column: df.agg(F.coalesce(F.sum(size(column)), F.lit(0)).cast("long").alias("chars"), F.count("*").alias("n")).where("n > 0").select(F.lit(path).alias("path"), "chars")
     some = lambda df: df.where("chars > 0")
     if s.shape == GROUPED:
-        out = total(s.groups, "pattern", "pattern").unionByName(total(s.samples, "content", "content"))
-        var = s.samples.select(F.explode("variable_values").alias("path", "own")).select("path", F.explode("own").alias("v")).groupBy("path").agg(F.sum(size("v")).cast("long").alias("chars"))
+        samples = written(s.samples.select("content", "variable_values"), "samples")  # looked at twice
+        out = total(s.groups, "pattern", "pattern").unionByName(total(samples, "content", "content"))
+        var = samples.select(F.explode("variable_values").alias("path", "own")).select("path", F.explode("own").alias("v")).groupBy("path").agg(F.sum(size("v")).cast("long").alias("chars"))
         out = out.unionByName(var).unionByName(some(total(s.outliers, "(outliers)", "content")))
     elif s.shape == SCHEMAS:
         out = s.values.groupBy(F.col("field").alias("path")).agg(F.sum(size("value")).cast("long").alias("chars")).unionByName(some(total(s.outliers, "(outliers)", "content")))

@@ -128,3 +128,17 @@ def test_top_ngrams_need_no_scores(spark, monkeypatch):
 
     monkeypatch.setattr(outliers, "scores", None)
     assert queries.q18_top_ngrams(spark, "/root/testdata/sf0.001").count() == 10
+
+
+def test_samples_of_templates_in_one_pass(spark):
+    """First entries and their variables are of one shuffle; a report's length by field reads them once."""
+    from patternlens.operators import grouping, profile
+
+    log = "".join(f"get {i} of {i % 2}\n" for i in range(7)) + "no variable\n" * 4 + "lone 5ms\n"
+    s = api.summarize(spark, log)
+    rows = {r.content: r for r in s.samples.collect()}
+    assert rows["get 0 of 0"].variable_values == {"var_0": list("01234"), "var_1": list("01010")} and rows["get 0 of 0"].line_numbers == [1, 2, 3]
+    assert rows["no variable"].variable_values is None and rows["no variable"].line_numbers == [8, 9, 10] and rows["lone 5ms"].variable_values == {"var_0": ["5ms"]}
+    assert "Join" not in plan(grouping.patterns(api.text_entries(spark, log, api.Options())).samples)
+    buckets = profile.cost_buckets(s)
+    assert "Window" not in plan(buckets) and {r.path: r.chars for r in buckets.collect()} == {"pattern": 18 + 11 + 15, "content": 10 + 11 + 8, "var_0": 8, "var_1": 5, "(outliers)": 8}
